@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cluster, exact_dedup, substring_dedup
+from . import cluster, exact_dedup, simhash, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +16,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(_documents(spark, sf_dir)))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op9_simhash_dedup, op10_exact_dedup)}
 
 ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cluster, exact_dedup, simhash, substring_dedup
+from . import cluster, exact_dedup, packing, simhash, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +19,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(_documents(spark, sf_dir)))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(_documents(spark, sf_dir)))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{cluster.scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_token_file(_documents(spark, sf_dir), path)
+    return token_files.read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(_documents(spark, sf_dir))
 
@@ -24,6 +37,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op9_simhash_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_packing, op6_token_files, op9_simhash_dedup, op10_exact_dedup)}
 
 ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cluster, exact_dedup, line_rules, packing, simhash, substring_dedup, token_files
+from . import cluster, exact_dedup, line_rules, packing, pii, simhash, spans, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(_documents(spark, sf_dir)))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_documents(spark, sf_dir)).select("doc_id", *spans.digest(F.col("spans"), pii.KINDS))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_documents(spark, sf_dir)))
 
@@ -41,6 +45,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_packing, op6_token_files, op7_line_rules, op9_simhash_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op4_packing, op6_token_files, op7_line_rules, op9_simhash_dedup, op10_exact_dedup)}
 
 ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}

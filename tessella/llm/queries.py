@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cluster, exact_dedup, line_rules, packing, pii, simhash, spans, substring_dedup, token_files
+from . import cluster, exact_dedup, line_rules, packing, pii, secret_scan, simhash, spans, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_documents(spark, sf_dir)))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_documents(spark, sf_dir)).select("doc_id", *spans.digest(F.col("spans"), secret_scan.KINDS[:3]))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{cluster.scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_token_file(_documents(spark, sf_dir), path)
@@ -45,6 +49,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op4_packing, op6_token_files, op7_line_rules, op9_simhash_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op4_packing, op5_secret_scan, op6_token_files, op7_line_rules, op9_simhash_dedup, op10_exact_dedup)}
 
 ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}

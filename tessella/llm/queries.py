@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cluster, exact_dedup, line_rules, packing, pii, secret_scan, simhash, spans, substring_dedup, token_files
+from . import cluster, exact_dedup, line_rules, packing, pii, quality, secret_scan, simhash, spans, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_documents(spark, sf_dir)).select("doc_id", *spans.digest(F.col("spans"), pii.KINDS))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_documents(spark, sf_dir)))
 
@@ -49,6 +55,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op4_packing, op5_secret_scan, op6_token_files, op7_line_rules, op9_simhash_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_quality, op4_packing, op5_secret_scan, op6_token_files, op7_line_rules, op9_simhash_dedup, op10_exact_dedup)}
 
 ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -75,16 +75,17 @@ def labelled_samples(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
         lambda ws: "_".join(ws), lambda ws: "-".join(ws), lambda ws: "/".join(ws), lambda ws: ws[0] + "".join(w.capitalize() for w in ws[1:]), lambda ws: "".join(w.capitalize() for w in ws), lambda ws: "".join(ws),
         lambda ws: "_".join(ws).upper(), lambda ws: "/".join(ws) + str(rng.randrange(100)), lambda ws: "-".join([*ws, str(rng.randrange(2030))]), lambda ws: "".join(ws).upper(),
     ]
-    out = []
+    rules = "-=_/+0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    out = [(c * 40, 0) for c in rules]  # a line of one character is ordinary
     for _ in range(n):
         out.append(("".join(rng.choices(rng.choice(alphabets), k=rng.randrange(20, 48))), 1))
         x = rng.random()
-        if x < 0.85:
+        if x < 0.8:
             out.append((rng.choice(joins)([word() for _ in range(rng.randrange(3, 8))]), 0))
-        elif x < 0.95:
+        elif x < 0.88:
             out.append(("".join(rng.choices("0123456789", k=rng.randrange(8, 40))), 0))
         else:
-            out.append((rng.choice("-=_/+") * rng.randrange(16, 50), 0))
+            out.append((rng.choice(rules) * rng.randrange(16, 50), 0))
     return out
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cluster, exact_dedup, line_rules, packing, pii, quality, secret_scan, simhash, spans, substring_dedup, token_files
+from . import cluster, exact_dedup, line_rules, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, spans, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(_documents(spark, sf_dir)).drop("clean_text")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_documents(spark, sf_dir)).select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(_documents(spark, sf_dir))
 
@@ -55,6 +59,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_quality, op4_packing, op5_secret_scan, op6_token_files, op7_line_rules, op9_simhash_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_quality, op4_packing, op5_secret_scan, op6_token_files, op7_line_rules, op8_sentencepiece, op9_simhash_dedup, op10_exact_dedup)}
 
 ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -1 +1,5 @@
+"""Field catalogs, readers, loading onto a grid, reshaping of vendor tables, and sinks."""
 
+from .catalog import Catalog, Field
+
+__all__ = ["Catalog", "Field"]

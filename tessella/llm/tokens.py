@@ -8,8 +8,9 @@ against encoding whole texts.
 from __future__ import annotations
 
 import os
+import string
 import zlib
-from array import array
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from .arrays import blocks, ragged, text_buffer
 
 #: Distinct words that an encoder remembers; beyond that it starts anew.
 REMEMBERED = 300_000
-_TAIL = b".,;:!?"
+_TAIL = string.punctuation.encode()
 #: A byte-level vocabulary writes the bytes that are not printable in Latin-1 as the letters from U+0100 on.
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 
@@ -30,70 +31,108 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Ragged(NamedTuple):
+    flat: np.ndarray
+    ends: np.ndarray
+
+
 class WordEncoder:
     """Encodes Arrow string arrays to ragged id arrays."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The library's model itself, if it takes runs of letters in byte-level form: saves the way through normaliser and pre-tokenizer.
-        self.letters = None
+        #: The library's model without normaliser and pre-tokenizer, if it takes runs of letters in byte-level form: their ids end where a word-end id stands.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         probe = ["the", "ntblere", "zqxjkv", "\u00e9l\u00e8ve", "\u00fcber\u00e4\u00df\u00f1"]
-        model = self.tokenizer.model
-        if [[t.id for t in model.tokenize(x.encode().decode("latin-1").translate(_BYTE_LETTERS))] for x in probe] == [self.tokenizer.encode(x.capitalize() + ".", add_special_tokens=False).ids[:-1] for x in probe]:
-            self.letters = model
         self.clear()
+        if not suffix or self._runs(probe).flat.tolist() != [i for x in probe for i in self.tokenizer.encode(x.capitalize() + ".", add_special_tokens=False).ids[:-1]]:
+            self.letters = None
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.pieces: dict[bytes, bytes] = {}  # ids of letter runs and of punctuation, as 4-byte integers
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)  # first id of each word; n + 1 used
         self.used = 0
-
-    def _whole(self, words: list[bytes]) -> list[bytes]:
+        self.piece: dict[str | bytes, int] = {b"": 0}  # letter runs as str, punctuation and other words as bytes
+        self.piece_ids: list[np.ndarray] = []
+        self.piece_len: list[np.ndarray] = [np.zeros(1, np.int64)]
+
+    def _runs(self, runs: list[str]) -> _Ragged:
+        """Ids of runs of lower-case letters."""
+        byte_form = [r if r.isascii() else r.encode().decode("latin-1").translate(_BYTE_LETTERS) for r in runs]
+        got = self.letters.encode_batch_fast([" ".join(byte_form[a : a + 512]) for a in range(0, len(byte_form), 512)], add_special_tokens=False)
+        flat = np.array([i for e in got for i in e.ids], np.uint32)
+        cut = np.flatnonzero(self.ends[flat]) + 1
+        if len(cut) != len(runs):
+            raise ValueError("a run of letters is not one pre-token")
+        return _Ragged(flat, cut)
+
+    def _whole(self, words: list[bytes]) -> _Ragged:
         """Ids of each, by the whole tokenizer."""
-        return [array("I", e.ids).tobytes() for a in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 4096]], add_special_tokens=False)]
+        got = [e.ids for a in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 4096]], add_special_tokens=False)]
+        return _Ragged(np.array([i for x in got for i in x], np.uint32), np.cumsum([len(x) for x in got]).astype(np.int64))
 
-    def _learn(self, fresh: list[bytes]) -> list[bytes]:
+    def _learn(self, fresh: list[bytes]) -> _Ragged:
         """Ids of new words. A run of letters with a tail of punctuation is two pieces: the pre-tokenizer splits it so in any case."""
-        pieces, split, rest = self.pieces, [], []
-        for w in fresh:
+        piece = self.piece
+        runs: list[str] = []
+        rest: list[bytes] = []
+        n = len(piece)
+        pairs = np.zeros((len(fresh), 2), np.int64)
+        later: list[tuple[int, int, bytes]] = []
+        for i, w in enumerate(fresh):
             core = w.rstrip(_TAIL)
             text = core.decode()
-            if core and text.isalpha() and max(text) < "\u0130":  # letters of Latin-1: normalised by lower-casing, one pre-token
-                tail = w[len(core) :]
-                core = text.lower().encode()
-                if self.letters and core not in pieces:
-                    pieces[core] = array("I", [t.id for t in self.letters.tokenize(core.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+            if self.letters and text.isalpha() and (text.isascii() or max(text) < "\u0130"):  # letters of Latin-1: normalised by lower-casing, one pre-token
+                key = text.lower()
+                at = piece.get(key)
+                if at is None:
+                    at = piece[key] = n + len(runs)
+                    runs.append(key)
+                pairs[i, 0] = at
+                if len(core) < len(w):
+                    later.append((i, 1, w[len(core) :]))
             else:
-                core, tail = w, b""
-            split.append((core, tail))
-            rest += [x for x in (core, tail) if x not in pieces]
-        rest = list(dict.fromkeys(rest))
-        pieces.update(zip(rest, self._whole(rest), strict=True))
-        out = [pieces[a] + pieces[b] if b else pieces[a] for a, b in split]
-        for w in rest:  # whole words are remembered as words
-            if len(w) > 3:
-                del pieces[w]
-        return out
+                later.append((i, 0, w))
+        n += len(runs)
+        for i, k, w in later:
+            at = piece.get(w)
+            if at is None:
+                at = piece[w] = n + len(rest)
+                rest.append(w)
+            pairs[i, k] = at
+        for new, how in ((runs, self._runs), (rest, self._whole)):
+            if new:
+                got = how(new)
+                self.piece_ids.append(got.flat)
+                self.piece_len.append(np.diff(got.ends, prepend=0))
+        self.piece_ids, self.piece_len = [np.concatenate([np.zeros(0, np.uint32), *self.piece_ids])], [np.concatenate(self.piece_len)]
+        seg = pairs.ravel()
+        size = self.piece_len[0]
+        first = np.cumsum(size) - size
+        lens = size[seg]
+        flat = self.piece_ids[0][np.repeat(first[seg], lens) + ragged(lens)]
+        return _Ragged(flat, np.cumsum(lens.reshape(-1, 2).sum(1)))
 
     def _add(self, fresh: list[bytes]) -> None:
         n0 = len(self.place)
-        for i, w in enumerate(fresh):
-            self.place[w] = n0 + i
         got = self._learn(fresh)
-        lens = np.array([len(x) for x in got], np.int64) >> 2
-        flat = np.frombuffer(b"".join(got), np.uint32)
-        while self.used + len(flat) > len(self.ids):
+        self.place.update(zip(fresh, range(n0, n0 + len(fresh)), strict=True))
+        while self.used + len(got.flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n0 + len(fresh) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.first[n0 + 1 : n0 + 1 + len(lens)] = self.used + np.cumsum(lens)
-        self.used += len(flat)
+        self.ids[self.used : self.used + len(got.flat)] = got.flat
+        self.first[n0 + 1 : n0 + 1 + len(fresh)] = self.used + got.ends
+        self.used += len(got.flat)
 
     def block(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the n + 1 bounds of each text's."""

@@ -122,17 +122,14 @@ def ragged(lens: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lens, lens)
 
 
-_INVERSE = U64(pow(int(_WINDOW_BASE), -1, 2**64))
-
-
-def window_hash(h: np.ndarray, size: int) -> np.ndarray:
+def window_hash(h: np.ndarray, size: int, base: np.uint64 = _WINDOW_BASE) -> np.ndarray:
     """Rabin-Karp hash of every `size` consecutive values: differences of one prefix sum, scaled back to position 0."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
     s = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * powers(_WINDOW_BASE, len(h)), out=s[1:])
-    return mix((s[size:] - s[:-size]) * powers(_INVERSE, n))
+    np.cumsum(h * powers(base, len(h)), out=s[1:])
+    return mix((s[size:] - s[:-size]) * powers(U64(pow(int(base), -1, 2**64)), n))
 
 
 def take_segments(buf: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray, n: int, sep: int = 32) -> tuple[np.ndarray, np.ndarray]:

@@ -3,11 +3,11 @@
 Documents are dealt into units by a hash of their id. A unit hashes all its windows and sends each owner (a range of the
 hash space) its distinct hashes, sorted, with the smallest id that holds each; an owner answers with one bit per hash: does
 a smaller id hold it elsewhere? With that bit a unit decides all its windows, merges the repeated ones into maximal removal
-intervals and cuts the texts. What travels is about 8 bytes a distinct window, and the hash of a passage that a third of
+intervals and cuts the texts. What travels is about 9 bytes a distinct window, and the hash of a passage that a third of
 all documents share is sent once a unit.
 
-The hash has 64 bits, over two levels of polynomials with random byte values. Two different windows share one with a
-chance of 2 ** -64 a pair.
+A window's hash has 80 bits: two polynomials of different bases over the words' hashes. Among 10 ** 13 windows about 40 are
+expected to meet a different window of equal hash.
 
 Nulls and edges: null or empty text has no words; a text under the window's length loses nothing; a row with a null id
 keeps its whole text and lends nothing; rows with equal ids never remove from each other; an empty table gives an
@@ -16,6 +16,9 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,18 +30,29 @@ from .arrays import U64, Words, blocks, column, strings, take_segments, text_buf
 #: Bytes of text per unit, and of all units' text per owner: both sides of the exchange hold that much at a time.
 UNIT_BYTES = 8 << 20
 OWNER_BYTES = 8 << 20
+_SECOND = U64(0xBF58476D1CE4E5B9)
+
+
+class _Block(NamedTuple):
+    first: int  # document
+    words: Words
+    at: np.ndarray  # first word of each window
+    doc: np.ndarray  # document of each window, within the block
+    hash: np.ndarray
+    more: np.ndarray  # 16 further bits of the hash
 
 
 def _windows(table: pa.Table, size: int):
-    """Per block of documents: the block's first document, its words, the hashes of its windows, their first word, their document."""
+    """Words and windows of each block of documents."""
     buf, off = text_buffer(column(table, "text"))
     for i, j in blocks(off):
         w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-        h = window_hash(w.hashes(), size)
+        each = w.hashes()
+        h, more = window_hash(each, size), window_hash(each * _SECOND, size, _SECOND) >> U64(48)
         left = w.first[1:] - size  # the last window of a document starts here
         doc = w.docs()[: len(h)]
         at = np.flatnonzero(np.arange(len(h)) <= left[doc])
-        yield i, w, h[at], at, doc[at]
+        yield _Block(i, w, at, doc[at], h[at], more[at].astype(np.uint16))
 
 
 def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -46,42 +60,65 @@ def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids.fill_null(0).to_numpy(zero_copy_only=False), ~ids.is_null().to_numpy(zero_copy_only=False)
 
 
-def _distinct(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, the smallest id of each, and each window's place among them."""
+def _distinct(h: np.ndarray, more: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes in two parts, the smallest id of each, and each window's place among them."""
     order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
+    s, m = h[order], more[order]
+    same, new = s[1:] == s[:-1], np.ones(len(s), bool)
+    if (same & (m[1:] != m[:-1])).any():  # once in a long while
+        order = np.lexsort((more, h))
+        s, m = h[order], more[order]
+        same = s[1:] == s[:-1]
+    new[1:] = ~same | (m[1:] != m[:-1])
     at = np.flatnonzero(new)
     place = np.empty(len(h), np.int64)
     place[order] = np.cumsum(new) - 1
-    return s[at], np.minimum.reduceat(ids[order], at) if len(at) else ids[:0], place
+    return s[at], m[at], np.minimum.reduceat(ids[order], at) if len(at) else ids[:0], place
 
 
 def _owners(h: np.ndarray, owners: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(owners) >> U64(32)).astype(np.int64)
 
 
-def pack(h: np.ndarray, ids: np.ndarray) -> bytes:
-    """Sorted hashes as gaps of 6 bytes (8 where one is larger), ids as indexes into a table of the distinct ones."""
+def _planes(values: np.ndarray, raw: int, wide: int) -> list[bytes]:
+    """The low bytes of integers as they are, the higher ones (whose values crowd) entropy-coded."""
+    b = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T)
+    c = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    high = c.compress(b[raw:].tobytes()) + c.flush()
+    return [len(high).to_bytes(8, "little"), b[:raw].tobytes(), high]
+
+
+def pack(h: np.ndarray, more: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted hashes as gaps of 6 bytes (8 where one is larger) and 2 bytes more, ids as indexes into a table of the distinct ones."""
     gaps = np.diff(h)
     wide = 6 if not len(gaps) or int(gaps.max()) < 1 << 48 else 8
     names, at = np.unique(ids, return_inverse=True)
-    small = np.uint16 if len(names) < 1 << 16 else np.uint32
-    head = np.array([len(h), wide, len(names), np.dtype(small).itemsize, h[0]], "<u8").tobytes()
-    return head + names.astype("<i8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes() + at.astype(small).tobytes()
-
+    head = np.array([len(h), wide, len(names), h[0]], "<u8").tobytes()
+    return b"".join([head, names.astype("<i8").tobytes(), more.astype("<u2").tobytes(), *_planes(gaps, 5, wide), *_planes(at, 1, 4)])
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, wide, m, low = (int(x) for x in np.frombuffer(blob, "<u8", 4))
+    at = 32 + 8 * m
+    names = np.frombuffer(blob, "<i8", m, 32)
+    more = np.frombuffer(blob, "<u2", n, at)
+    at += 2 * n
+
+    def planes(count: int, raw: int, width: int) -> np.ndarray:
+        nonlocal at
+        size = int.from_bytes(blob[at : at + 8], "little")
+        at += 8
+        out = np.zeros((count, 8), np.uint8)
+        out[:, :raw] = np.frombuffer(blob, np.uint8, count * raw, at).reshape(raw, count).T
+        at += count * raw
+        out[:, raw:width] = np.frombuffer(zlib.decompress(blob[at : at + size], -15), np.uint8).reshape(width - raw, count).T
+        at += size
+        return out.view("<u8").ravel()
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, wide, m, item, low = (int(x) for x in np.frombuffer(blob, "<u8", 5))
-    names = np.frombuffer(blob, "<i8", m, 40)
-    at = 40 + 8 * m
-    gaps = np.zeros((n - 1, 8), np.uint8)
-    gaps[:, :wide] = np.frombuffer(blob, np.uint8, (n - 1) * wide, at).reshape(n - 1, wide)
     h = np.empty(n, U64)
     h[0] = low
-    h[1:] = gaps.view("<u8").ravel()
-    return np.cumsum(h, dtype=U64), names[np.frombuffer(blob, np.uint16 if item == 2 else np.uint32, n, at + (n - 1) * wide)]
+    h[1:] = planes(n - 1, 5, wide)
+    return np.cumsum(h, dtype=U64), more, names[planes(n, 1, 4)]
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,27 +130,30 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     owners = cluster.units(spark, total, OWNER_BYTES)
     dealt = rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_units)).cast("int"))
 
-    def distinct(table: pa.Table):
+    def distinct(table: pa.Table, made: list[_Block]):
+        """Over the windows of documents with an id, in their order."""
         ids, known = _ids(table)
-        parts = [(h[k := known[i + d]], ids[i + d][k]) for i, _, h, _, d in _windows(table, window)]
-        h, d = (np.concatenate([p[x] for p in parts] or [np.zeros(0, np.int64)]) for x in (0, 1))
-        return _distinct(h.astype(U64), d.astype(np.int64))
+        keep = [known[b.first + b.doc] for b in made]
+        h = np.concatenate([np.zeros(0, U64), *[b.hash[k] for b, k in zip(made, keep, strict=True)]])
+        more = np.concatenate([np.zeros(0, np.uint16), *[b.more[k] for b, k in zip(made, keep, strict=True)]])
+        own = np.concatenate([np.zeros(0, np.int64), *[ids[b.first + b.doc][k] for b, k in zip(made, keep, strict=True)]])
+        return _distinct(h, more, own)
 
     def send(table: pa.Table) -> pa.Table:
         unit = table.column("unit")[0].as_py()
-        h, d, _ = distinct(table)
+        h, more, d, _ = distinct(table, [b._replace(words=None) for b in _windows(table, window)])
         own = _owners(h, owners)
         cut = np.flatnonzero(np.diff(own, prepend=-1))
-        ends = [*cut[1:], len(h)]
-        return pa.table({"owner": pa.array(own[cut], pa.int32()), "unit": pa.array([unit] * len(cut), pa.int32()), "blob": pa.array([pack(h[i:j], d[i:j]) for i, j in zip(cut, ends, strict=True)], pa.binary())})
+        blobs = [pack(h[i:j], more[i:j], d[i:j]) for i, j in zip(cut, [*cut[1:], len(h)], strict=True)]
+        return pa.table({"owner": pa.array(own[cut], pa.int32()), "unit": pa.array([unit] * len(cut), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
         owner = table.column("owner")[0].as_py()
         lists = [unpack(b.as_py()) for b in column(table, "blob")]
-        h, d = (np.concatenate([x[k] for x in lists]) for k in (0, 1))
+        h, more, d = (np.concatenate([x[k] for x in lists]) for k in (0, 1, 2))
         ends = np.cumsum([len(x[0]) for x in lists])
         del lists
-        _, least, place = _distinct(h, d)
+        _, _, least, place = _distinct(h, more, d)
         earlier = least[place] < d
         maps = [np.packbits(m).tobytes() if m.any() else None for m in np.split(earlier, ends[:-1])]
         keep = [i for i, m in enumerate(maps) if m is not None]
@@ -121,18 +161,21 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     def cut_out(table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, known = _ids(table)
-        h, least, _ = distinct(table)
+        made = list(_windows(table, window))
+        h, _, least, place = distinct(table, made)
         own = _owners(h, owners)
         elsewhere = np.zeros(len(h), bool)
         for o, m in zip(replies.column("owner").to_pylist(), replies.column("bitmap").to_pylist(), strict=True):
             i, j = np.searchsorted(own, [o, o + 1])
             elsewhere[i:j] = np.unpackbits(np.frombuffer(m, np.uint8))[: j - i]
         least = np.where(elsewhere, np.iinfo(np.int64).min, least)
-        out = []
-        for i, w, wh, at, d in _windows(table, window):
-            gone = np.zeros(len(wh), bool)
+        out, upto = [], 0
+        for i, w, at, d, *_ in made:
+            gone = np.zeros(len(at), bool)
             k = known[i + d]
-            gone[k] = least[np.searchsorted(h, wh[k])] < ids[i + d][k]
+            mine = place[upto : upto + int(k.sum())]
+            upto += len(mine)
+            gone[k] = least[mine] < ids[i + d][k]
             n = len(w.start)
             edge = np.bincount(at[gone], minlength=n + 1) - np.bincount(at[gone] + window, minlength=n + 1)[: n + 1]
             lost = np.cumsum(edge)[:n] > 0

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, column, ragged, strings, text_buffer
-from .tokens import REMEMBERED, vocabulary
+from .tokens import vocabulary
 
 MARK = "▁"
 _MARK = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # piece types of the format
 THREADS = 2
+#: Distinct parts that a codec remembers; beyond that it starts anew.
+REMEMBERED = 300_000
 
 
 def _fields(data: bytes):

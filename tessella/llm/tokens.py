@@ -18,7 +18,7 @@ import pyarrow as pa
 from .arrays import blocks, ragged, text_buffer
 
 #: Distinct words that an encoder remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _TAIL = string.punctuation.encode()
 #: A byte-level vocabulary writes the bytes that are not printable in Latin-1 as the letters from U+0100 on.
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}

@@ -207,6 +207,18 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     return replicas.withColumn("cell", F.pmod(F.xxhash64("anchor", "part"), F.lit(n_cells))).groupBy("cell").applyInArrow(compare, "a long, b long")
 
 
+def named(each: DataFrame, distinct: DataFrame, roots: DataFrame, key: str, n: int) -> DataFrame:
+    """each (n rows with the column key) with component_id; distinct: key, first_id, met; roots: node, root."""
+    # the least id of each component; a root may stand for a third of the fingerprints
+    roots = roots.select(F.col("node").alias("_node"), "root")
+    linked = distinct.join(roots, distinct[key] == roots["_node"]).select(key, "root", "first_id", "met")
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    far = cluster.join_counted(linked, least, "root", "members", n).select(key, "component_id", "met")
+    alone = distinct.join(roots.select("_node"), distinct[key] == F.col("_node"), "left_anti").select(key, F.col("first_id").alias("component_id"), "met")
+    mapping = cluster.materialize(far.unionByName(alone))
+    return cluster.join_counted(each, mapping, key, "met", n)
+
+
 def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (least id reachable over links)."""
 
@@ -219,13 +231,7 @@ def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 3, id_col: st
     distinct = cluster.materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("met")))
     roots = components(links(distinct.select("fp").repartition("fp"), distance))
     n = each.count()
-    # the least id of each component; a root may stand for a third of the fingerprints
-    linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "first_id", "met")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    far = cluster.join_counted(linked, least, "root", "members", n).select("fp", "component_id", "met")
-    alone = distinct.join(roots.select(F.col("node")), distinct["fp"] == F.col("node"), "left_anti").select("fp", F.col("first_id").alias("component_id"), "met")
-    mapping = cluster.materialize(far.unionByName(alone))
-    out = cluster.join_counted(each, mapping, "fp", "met", n)
+    out = named(each, distinct, roots, "fp", n)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -22,7 +22,7 @@ from .tokens import encoder, vocabulary, with_end
 
 DIMS, BITS, BUCKETS = 3, 10, 4096
 PART_BYTES = 4 << 20
-#: Documents whose keys set the ranges' bounds, per range. Only the ranges' evenness depends on it.
+#: Documents whose keys set the ranges' bounds, per range. Only the ranges' evenness depends on it; the grid is of all documents.
 SAMPLE = 64
 _GAUSS = np.random.Generator(np.random.PCG64(7)).normal(size=(BUCKETS, DIMS))
 
@@ -72,6 +72,17 @@ def keys(points: np.ndarray, mean: np.ndarray, sd: np.ndarray, tie: np.ndarray)
     return hilbert(grid.astype(np.int64)) << 32 | (tie & 0xFFFFFFFF)
 
 
+def moments(points: DataFrame, axes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of all points; sums of integers, so the same in any order of the rows."""
+    whole = [F.round(F.col(a) * (1 << 20)).cast("decimal(18,0)") for a in axes]
+    r = points.agg(F.count(F.lit(1)), *[F.sum(v) for v in whole], *[F.sum((v * v).cast("decimal(28,0)")) for v in whole]).first()
+    if not r[0]:
+        return np.zeros(len(axes)), np.ones(len(axes))
+    one, two = ([int(v) for v in r[1 + k * len(axes) : 1 + (k + 1) * len(axes)]] for k in (0, 1))
+    sd = [max(0, r[0] * q - v * v) ** 0.5 / r[0] / (1 << 20) for v, q in zip(one, two, strict=True)]
+    return np.array([v / r[0] / (1 << 20) for v in one]), np.maximum(sd, 1e-9)
+
+
 def _cells(total: int, most: int) -> np.ndarray:
     """Bounds of sequences over the last tokens: full ones, then powers of two."""
     sizes = [most] * (total // most) + [1 << b for b in range(most.bit_length(), -1, -1) if (total % most) >> b & 1]
@@ -130,40 +141,38 @@ def pack(docs: DataFrame, length: int = 2048, vocab: str | None = None, end_id:
     sizes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     n_parts = cluster.units(spark, sizes["b"], PART_BYTES)
 
-    def points(batches):
-        enc = encoder(vocab)
-        for batch in batches:
-            tie = column(batch, "tie")
-            for i, ids, at in enc.encode(column(batch, "text")):
-                yield pa.RecordBatch.from_pydict({"tie": tie.slice(i, len(at) - 1)} | {f"x{k}": pa.array(v) for k, v in enumerate(project(ids, at).T)})
-
-    share = min(1.0, SAMPLE * n_parts / max(1, sizes["n"]))
-    sample = rows.filter(F.pmod(F.xxhash64("tie", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    seen = sample.mapInArrow(points, "tie long, " + ", ".join(f"x{k} double" for k in range(DIMS))).toPandas()
-    x = seen[[f"x{k}" for k in range(DIMS)]].to_numpy().reshape(-1, DIMS)
-    mean, sd = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (np.zeros(DIMS), np.ones(DIMS))
-    known = np.sort(keys(x, mean, sd, seen["tie"].to_numpy().astype(np.int64)))
-    bounds = known[np.arange(1, n_parts) * len(known) // n_parts] if len(known) else known
+    axes = [f"x{k}" for k in range(DIMS)]
 
-    def place(batches):
+    def encoded(batches):
         enc = encoder(vocab)
         kind = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         item = int(kind[-1])
         for batch in batches:
             for i, ids, at in enc.encode(column(batch, "text")):
-                tie = column(batch, "tie").slice(i, len(at) - 1)
-                key = keys(project(ids, at), mean, sd, tie.to_numpy())
+                x = project(ids, at)
                 ids, at = with_end(ids, at, end_id)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "part": pa.array(np.searchsorted(bounds, key, "right"), pa.int32()),
-                        "key": pa.array(key),
-                        "tie": tie,
+                        "tie": column(batch, "tie").slice(i, len(at) - 1),
                         "doc_id": column(batch, "doc_id").slice(i, len(at) - 1),
                         "ids": pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * item).astype(np.int32).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())]),
                     }
+                    | {a: pa.array(v) for a, v in zip(axes, x.T, strict=True)}
                 )
 
+    known = cluster.materialize(rows.mapInArrow(encoded, "tie long, doc_id long, ids binary, " + ", ".join(f"{a} double" for a in axes)))
+    mean, sd = moments(known, axes)
+    share = min(1.0, SAMPLE * n_parts / max(1, sizes["n"]))
+    seen = known.filter(F.pmod(F.xxhash64("tie", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("tie", *axes).toPandas()
+    some = np.sort(keys(seen[axes].to_numpy().reshape(-1, DIMS), mean, sd, seen["tie"].to_numpy().astype(np.int64)))
+    bounds = some[np.arange(1, n_parts) * len(some) // n_parts] if len(some) else some
+
+    def place(batches):
+        for batch in batches:
+            x = np.stack([column(batch, a).to_numpy() for a in axes], 1)
+            key = keys(x, mean, sd, column(batch, "tie").to_numpy())
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.searchsorted(bounds, key, "right"), pa.int32()), "key": pa.array(key)} | {c: column(batch, c) for c in ("tie", "doc_id", "ids")})
+
     def fill(batches):
         now: _Packer | None = None
         kind = None
@@ -187,7 +196,7 @@ def pack(docs: DataFrame, length: int = 2048, vocab: str | None = None, end_id:
         if now and (out := now.cut(True)):
             yield out
 
-    placed = rows.mapInArrow(place, "part int, key long, tie long, doc_id long, ids binary")
+    placed = known.mapInArrow(place, "part int, key long, tie long, doc_id long, ids binary")
     ordered = placed.repartition(n_parts, "part").sortWithinPartitions("part", "key", "tie", "doc_id")
     return ordered.mapInArrow(fill, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 

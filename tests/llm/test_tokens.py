@@ -114,3 +114,16 @@ def test_key_order_puts_copies_together():
     p = packing.project(ids, at)
     k = packing.keys(p, p.mean(0), p.std(0), np.array([1, 2, 3])) >> 32
     assert k[0] == k[1] != k[2]
+
+
+def test_grid_is_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 2000)
+    monkeypatch.setattr(packing, "SAMPLE", 1)
+    seen, keys = [], packing.keys
+    monkeypatch.setattr(packing, "keys", lambda points, mean, sd, tie: seen.append((mean, sd)) or keys(points, mean, sd, tie))
+    df, ids = docs(spark, TEXTS * 8, list(range(8 * len(TEXTS))))
+    rows = packing.pack(df, 256).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
+    enc = tokens.encoder(tokens.vocabulary())
+    p = np.concatenate([packing.project(i, at) for _, i, at in enc.encode(pa.array([t or "" for t in TEXTS]))])
+    assert np.allclose(seen[0][0], p.mean(0), atol=1e-6) and np.allclose(seen[0][1], p.std(0), atol=1e-6)
+    check_pieces(rows.collect(), {i: ids_of(t) for i, t in zip(ids, TEXTS * 8, strict=True)}, 256)

@@ -79,3 +79,9 @@ def test_unigram_model(tmp_path):
 
 def test_ids_of_control_pieces_decode_to_nothing():
     assert C.text(*C.decode(np.array([1, 2]), np.array([0, 2])))[0].as_py() == ""
+
+
+def test_parity_over_all_documents(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    assert max(map(len, texts)) > 10_000
+    assert C.parity(PATH, texts) == []

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .arrays import Words, blocks, column, segment_hash, text_buffer
 
@@ -236,13 +237,13 @@ def score(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> DataFrame:
-    """docs without the rows scored under THRESHOLD; all columns stay."""
-    names = docs.columns
-    t = names.index(text_col)
+    """docs without the rows scored under THRESHOLD; all columns stay, apart from STATS in a struct, so that names cannot clash."""
+    t = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            good = model.scores(statistics(batch.column(t))) >= THRESHOLD
-            yield batch.filter(pa.array(good))
+            x = statistics(batch.column(0).field(t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(len(STATS))]], names=["__row", *STATS])
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = StructType([StructField("__row", docs.schema), *[StructField(s, DoubleType()) for s in STATS]])
+    return docs.select(F.struct("*").alias("__row")).mapInArrow(run, schema).filter(model.column() >= THRESHOLD).select("__row.*")

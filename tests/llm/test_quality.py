@@ -61,3 +61,14 @@ def test_statistics_by_hand():
     s = dict(zip(q.STATS, x, strict=True))
     assert s["n_words"] == np.log1p(10) and s["dup_line_share"] == 1 / 3 and s["bar_share"] == 0.1 and s["tail_share"] == 0.1
     assert s["top_word_share"] == 0.2 and s["end_share"] == 0.2 and s["upper_share"] == 6 / 31
+
+
+def test_keep_good_filters_on_the_compiled_column(spark, tables, monkeypatch):
+    docs, labels = tables
+    model = q.train(docs, labels)
+    docs = docs.withColumn(q.STATS[0], docs["lang"])  # a name of a statistic
+    want = {r.doc_id for r in q.score(docs, model).filter("predicted = 1").collect()}
+    monkeypatch.setattr(model, "scores", None)
+    kept = q.keep_good(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
+    assert all(r[q.STATS[0]] == "en" for r in kept.collect())

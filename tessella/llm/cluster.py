@@ -10,23 +10,70 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1 / HOT_SHARE of the rows is joined by broadcast; so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 2000
+#: Tasks of one shuffle, at most. What runs in a task holds one unit at a time, so this bounds parallelism, not what is done.
+MOST_TASKS = 20_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The shared folder that spark.checkpoint.dir names. Where it is unset only a local master, as in tests, gets one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"{tempfile.gettempdir()}/tessella-scratch-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/tessella-scratch-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the scratch folder: cuts the lineage, is computed once and outlives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    return _write(df, f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}")
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that only one computation needs: all are deleted when the block ends. What it returns must be materialized before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{scratch_dir(spark)}/work-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame) -> DataFrame:
+        return _write(df, f"{self.path}/{uuid.uuid4().hex}")
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder by Spark's own file system, so any store will do."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with as many _ after it as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a table with a number of its own for every row, and that column's name. Written once, so the numbers stay."""
+    row = fresh("_row", docs.columns)
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """A numbered table without the rows whose number is in gone (column row), and without the numbers."""
+    return docs.join(gone.select(F.col("row").alias(row)), row, "left_anti").drop(row)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -43,6 +90,11 @@ def units(spark: SparkSession, amount: float, each: float) -> int:
     return max(partitions(spark), int(amount // each) + 1)
 
 
+def tasks(spark: SparkSession, n_units: int) -> int:
+    """Tasks of a shuffle by unit: one a unit up to MOST_TASKS, then several units a task, one after the other."""
+    return max(partitions(spark), min(n_units, MOST_TASKS))
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch holds; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

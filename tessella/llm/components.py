@@ -14,12 +14,17 @@ def _lookup(rows: DataFrame, column: str, parents: DataFrame, total: int) -> Dat
     return met.withColumn(column, F.coalesce("parent", column)).drop("parent")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: cluster.Scratch) -> DataFrame:
     """links: a, b (long). Returns node, root: the least node of its component, for every node that has a link.
 
-    Rounds grow with the logarithm of a component's diameter; each round's tables are written to the scratch folder.
+    Rounds grow with the logarithm of a component's diameter; each round's tables are deleted at the end, the result is one of scratch.
     """
-    links = cluster.materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    with cluster.Scratch(links.sparkSession) as rounds:
+        return scratch.table(_components(links, rounds))
+
+
+def _components(links: DataFrame, scratch: cluster.Scratch) -> DataFrame:
+    links = scratch.table(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     found: DataFrame | None = None
     while True:
         n = links.count()
@@ -27,12 +32,12 @@ def components(links: DataFrame) -> DataFrame:
             break
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("parent"), F.count(F.lit(1)).alias("met"))
-        parents = cluster.materialize(hooks)
+        parents = scratch.table(hooks)
         while True:
             # each node's parent is no larger than the node, so jumping ends at roots
             counts = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("met"))
             grand = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand")).join(counts, "parent")
-            jumped = cluster.materialize(cluster.join_counted(parents, grand, "parent", "met", 2 * n).select("node", F.coalesce("grand", "parent").alias("next"), "parent", "met"))
+            jumped = scratch.table(cluster.join_counted(parents, grand, "parent", "met", 2 * n).select("node", F.coalesce("grand", "parent").alias("next"), "parent", "met"))
             moved = jumped.filter("next <> parent").limit(1).count()
             parents = jumped.select("node", F.col("next").alias("parent"), "met")
             if not moved:
@@ -42,9 +47,27 @@ def components(links: DataFrame) -> DataFrame:
         else:
             sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("met"))
             up = parents.select(F.col("node").alias("root"), F.col("parent").alias("up")).join(sizes, "root")
-            found = cluster.materialize(cluster.join_counted(found, up, "root", "met", found.count()).select("node", F.coalesce("up", "root").alias("root")))
+            found = scratch.table(cluster.join_counted(found, up, "root", "met", found.count()).select("node", F.coalesce("up", "root").alias("root")))
         step = _lookup(_lookup(links, "a", parents, n), "b", parents, n)
-        links = cluster.materialize(step.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        links = scratch.table(step.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if found is None:
         found = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found
+
+
+def first_of(row: str = "row", id_col: str = "doc_id") -> list:
+    """The order in which rows of a component are kept: rows with an id, then the least id, then the first row."""
+    return [F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")]
+
+
+def named(each: DataFrame, distinct: DataFrame, roots: DataFrame, key: str, n: int) -> DataFrame:
+    """each (n rows with the column key) with `best`, the first row of its component; distinct: key, best (first_of), met; roots: node, root."""
+    # a root may stand for a third of the keys
+    roots = roots.select(F.col("node").alias("_node"), "root")
+    linked = distinct.join(roots, distinct[key] == roots["_node"]).select(key, "root", F.col("best").alias("own"), "met")
+    least = linked.groupBy("root").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("members"))
+    far = cluster.join_counted(linked, least, "root", "members", n).select(key, "best", "met")
+    alone = distinct.join(roots.select("_node"), distinct[key] == F.col("_node"), "left_anti").select(key, "best", "met")
+    with cluster.Scratch(each.sparkSession) as scratch:
+        mapping = scratch.table(far.unionByName(alone))
+        return cluster.materialize(cluster.join_counted(each, mapping, key, "met", n))

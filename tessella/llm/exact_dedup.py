@@ -1,18 +1,19 @@
 """Exact dedup by a Golomb-coded fingerprint exchange.
 
-Documents are dealt into units by a hash. Each unit sends every owner (a range of the fingerprint space) its sorted
-fingerprints, Golomb-Rice coded; owners answer with a bitmap of those that they saw twice. Only the texts of such
-suspects travel again, grouped by their bytes, so a clash of fingerprints is never taken for a copy.
-
-Nulls and edges: null text counts as empty (and so equals other empty texts); a row with a null id takes part and loses
-to any row with an id; repeated ids and rows count as rows of their own; an empty table gives an empty result; other
-columns are ignored.
+Rows get numbers and are dealt into units by them, so that no group of copies, not even of fully equal rows, gathers anywhere.
+Each unit sends every owner (a range of the fingerprint space) its sorted distinct fingerprints, Golomb-Rice coded, with a bit for
+those it holds twice; owners answer with a bitmap of those that are anywhere twice. Only the texts of such suspects are shuffled,
+grouped by their bytes after an aggregation on the map side, so a clash of fingerprints is never taken for a copy. Texts never
+leave the JVM; what travels for every row is its number, id and SHA-256.
+
+Nulls and edges: null text counts as empty (and so equals other empty texts); of equal texts the row with the largest id stays, of
+equal ids the first row, so exactly one row of each text stays, repeated rows included; a row with a null id takes part and loses to
+any row with an id; very long texts are hashed and compared whole; an empty table gives an empty result; other columns are passed
+on by `drop_copies` whatever they are called, and ignored by `exact_dedup`.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,12 +22,11 @@ from pyspark.sql import functions as F
 from . import cluster
 from .arrays import column
 
-#: Bytes of text and rows per unit: a unit's texts are in memory together.
-UNIT_BYTES = 8 << 20
-UNIT_ROWS = 200_000
+#: Rows per unit: about 50 bytes of each are in memory together.
+UNIT_ROWS = 500_000
 #: Fingerprints per owner.
 OWNER_ROWS = 1_000_000
-#: Bits of a fingerprint. With 48, a table of 2 ** 40 texts gets a false suspect among 256 texts; a false one costs only traffic.
+#: Bits of a fingerprint, a multiple of 4. With 48, a table of 2 ** 40 texts gets a false suspect among 256 texts; a false one costs only traffic.
 BITS = 48
 
 
@@ -54,17 +54,13 @@ def golomb_decode(blob: bytes) -> np.ndarray:
     return np.cumsum(((q.astype(np.int64) << k) | r) + 1) - 1
 
 
-def _local(table: pa.Table) -> tuple[dict[str, list[int]], pa.Array]:
-    """Rows of a unit by the SHA-256 of their text."""
-    texts = column(table, "text")
-    groups: dict[str, list[int]] = {}
-    for i, t in enumerate(texts):
-        groups.setdefault(hashlib.sha256((t.as_py() or "").encode()).hexdigest(), []).append(i)
-    return groups, texts
-
-
-def _prints(groups) -> np.ndarray:
-    return np.array([int(h[:16], 16) >> (64 - BITS) for h in groups], np.int64)
+def _prints(table: pa.Table) -> np.ndarray:
+    """The leading BITS of each row's SHA-256."""
+    sha = column(table, "sha")
+    if not len(sha):
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(sha.buffers()[2], np.uint8, 32 * len(sha), 32 * sha.offset).reshape(-1, 32)
+    return (np.ascontiguousarray(raw[:, :8]).view(">u8").ravel() >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _cells(fp: np.ndarray, owners: int) -> list[tuple[int, int, np.ndarray]]:
@@ -75,80 +71,71 @@ def _cells(fp: np.ndarray, owners: int) -> list[tuple[int, int, np.ndarray]]:
     return [(int(own[i]), -((-int(own[i]) << BITS) // owners), u[i:j]) for i, j in zip(cut, [*cut[1:], len(u)], strict=True)]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id (largest id among equal texts), group_size, kept, text_sha256.
-
-    Of rows that are equal in text and id, all report kept = true when their id is the one that stays.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    n_units = max(cluster.units(spark, sizes["b"], UNIT_BYTES), sizes["n"] // UNIT_ROWS + 1)
-    owners = max(cluster.partitions(spark), sizes["n"] // OWNER_ROWS + 1)
-    dealt = rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_units)).cast("int"))
+def _groups(rows: DataFrame) -> DataFrame:
+    """rows: row (its number), doc_id, text. Returns row, doc_id, keep_id, keep_row, group_size, sha (binary)."""
+    spark = rows.sparkSession
+    n = rows.count()
+    n_units = cluster.units(spark, n, UNIT_ROWS)
+    owners = cluster.units(spark, n, OWNER_ROWS)
+    deal = lambda df, key, many: df.repartition(cluster.tasks(spark, many), key).groupBy(key)
+    hashed = rows.select("row", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.pmod(F.xxhash64("row"), F.lit(n_units)).cast("int").alias("unit"))
+    dealt = deal(hashed, "unit", n_units)
 
     def send(table: pa.Table) -> pa.Table:
         unit = table.column("unit")[0].as_py()
-        groups, _ = _local(table)
-        fp = _prints(groups)
-        out = [(own, unit, golomb_encode(u - low, (1 << BITS) // owners + 1)) for own, low, u in _cells(fp, owners)]
-        return pa.table({"owner": pa.array([x[0] for x in out], pa.int32()), "unit": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
+        fp = _prints(table)
+        values, counts = np.unique(fp, return_counts=True)
+        out = []
+        for own, low, u in _cells(fp, owners):
+            i = int(np.searchsorted(values, u[0]))
+            twice = counts[i : i + len(u)] > 1
+            out.append((own, golomb_encode(u - low, (1 << BITS) // owners + 1), np.packbits(twice).tobytes() if twice.any() else None))
+        return pa.table({"owner": pa.array([x[0] for x in out], pa.int32()), "unit": pa.array([unit] * len(out), pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary()), "twice": pa.array([x[2] for x in out], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        owner, sender = table.column("owner")[0].as_py(), column(table, "unit")
+        owner, sender, here = table.column("owner")[0].as_py(), column(table, "unit"), column(table, "twice").to_pylist()
         lists = [golomb_decode(b.as_py()) for b in column(table, "blob")]
-        every = np.concatenate(lists)
-        values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-        twice = (counts > 1)[inverse]
-        ends = np.cumsum([len(x) for x in lists])
-        maps = [np.packbits(m).tobytes() if m.any() else None for m in np.split(twice, ends[:-1])]
-        keep = [i for i, m in enumerate(maps) if m is not None]
-        return pa.table({"unit": sender.take(pa.array(keep, pa.int64())), "owner": pa.array([owner] * len(keep), pa.int32()), "bitmap": pa.array([maps[i] for i in keep], pa.binary())})
-
-    def suspects(table: pa.Table, replies: pa.Table) -> pa.Table:
-        """A row per distinct text of the unit; the text itself only if it may have a copy anywhere."""
-        groups, texts = _local(table)
-        fp = _prints(groups)
+        _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        bits = np.split((counts > 1)[inverse], np.cumsum([len(x) for x in lists])[:-1])
+        maps = [b if t is None else b | np.unpackbits(np.frombuffer(t, np.uint8))[: len(b)].astype(bool) for b, t in zip(bits, here, strict=True)]
+        keep = [i for i, m in enumerate(maps) if m.any()]
+        return pa.table({"unit": sender.take(pa.array(keep, pa.int64())), "owner": pa.array([owner] * len(keep), pa.int32()), "bitmap": pa.array([np.packbits(maps[i]).tobytes() for i in keep], pa.binary())})
+
+    def mark(table: pa.Table, replies: pa.Table) -> pa.Table:
+        fp = _prints(table)
         maps = dict(zip(replies.column("owner").to_pylist(), replies.column("bitmap").to_pylist(), strict=True))
-        hit: list[np.ndarray] = [np.zeros(0, np.int64)]
-        for own, _, u in _cells(fp, owners):
-            if own in maps:
-                hit.append(u[np.unpackbits(np.frombuffer(maps[own], np.uint8))[: len(u)].astype(bool)])
-        # two texts of one unit may share a fingerprint as well: that unit sent it once
-        u, c = np.unique(fp, return_counts=True)
-        flagged = np.isin(fp, np.concatenate([*hit, u[c > 1]]))
-        ids = column(table, "doc_id").to_pylist()
-        members = list(groups.values())
-        return pa.table(
-            {
-                "sha": pa.array(list(groups), pa.string()),
-                "text": pa.array([texts[g[0]].as_py() if f else None for g, f in zip(members, flagged, strict=True)], pa.string()),
-                "ids": pa.array([[ids[i] for i in g] for g in members], pa.list_(pa.int64())),
-            }
-        )
-
-    blobs = dealt.groupBy("unit").applyInArrow(send, "owner int, unit int, blob binary")
-    replies = blobs.groupBy("owner").applyInArrow(answer, "unit int, owner int, bitmap binary")
-    local = cluster.materialize(dealt.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(suspects, "sha string, text string, ids array<long>"))
-    local = local.withColumn("keep_id", F.array_max("ids")).withColumn("group_size", F.size("ids").cast("long"))
-    # byte verification: the text is the grouping key, aggregated before the shuffle
-    verified = (
-        local.filter("text is not null")
-        .groupBy("text")
-        .agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("met"))
-        .select(F.sha2("text", 256).alias("sha"), "keep_id", "group_size", "met")
-    )
-    far = cluster.join_counted(local.filter("text is not null").select("sha", "ids"), verified, "sha", "met", sizes["n"])
-    near = local.filter("text is null").select("sha", "ids", "keep_id", "group_size")
-    return near.unionByName(far).select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "sha").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+        hit = [u[np.unpackbits(np.frombuffer(maps[own], np.uint8))[: len(u)].astype(bool)] for own, _, u in _cells(fp, owners) if own in maps]
+        suspect = np.isin(fp, np.concatenate(hit)) if hit else np.zeros(len(fp), bool)
+        return pa.table({c: table.column(c) for c in ("row", "doc_id", "sha")} | {"suspect": pa.array(suspect)})
+
+    blobs = dealt.applyInArrow(send, "owner int, unit int, blob binary, twice binary")
+    replies = deal(blobs, "owner", owners).applyInArrow(answer, "unit int, owner int, bitmap binary")
+    with cluster.Scratch(spark) as scratch:
+        marked = scratch.table(dealt.cogroup(deal(replies, "unit", n_units)).applyInArrow(mark, "row long, doc_id long, sha binary, suspect boolean"))
+        # byte verification: the text is the grouping key, aggregated before the shuffle; row numbers are unique, so the join has no hot key
+        best = F.max(F.struct("doc_id", (-F.col("row")).alias("last")))
+        same = rows.join(marked.filter("suspect").select("row"), "row", "left_semi").groupBy("text").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+        same = scratch.table(same.select(F.unhex(F.sha2("text", 256)).alias("sha"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.last")).alias("keep_row"), "group_size", F.col("group_size").alias("met")))
+        far = cluster.join_counted(marked.filter("suspect").drop("suspect"), same, "sha", "met", n)
+        near = marked.filter("not suspect").select("row", "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
+        return cluster.materialize(near.unionByName(far))
+
+
+def _rows(table: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:
+    return table.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, keep_id (largest id among equal texts), group_size, kept (true for one row of each text), text_sha256."""
+    table, row = cluster.numbered(docs.select(id_col, text_col))
+    out = _groups(_rows(table, row, id_col, text_col))
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose equal text has a larger id; all columns stay."""
-    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    """docs with one row of each text, that with the largest id (of equal ids, and of rows without one, the first); all columns stay."""
+    table, row = cluster.numbered(docs)
+    return cluster.without(table, row, _groups(_rows(table, row, id_col, text_col)).filter("row <> keep_row"))
 
 
 SQL = """

@@ -9,9 +9,10 @@ anchors within that reach, and homes are compared with visitors anchor by anchor
 Equal fingerprints are one before they are replicated. An anchor emits a spanning forest of its links, never all pairs; anchors
 with many homes are split into parts.
 
-Nulls and edges: a null text counts as empty; a text without words has fingerprint zero, linked like any other; a row with a null
-id takes part but never names a component (a component of such rows alone has a null id); an empty table gives an empty
-result; other columns are ignored.
+Nulls and edges: a null text counts as empty; a text without words has fingerprint zero, linked like any other; very long texts are
+summed in slices; a row with a null id takes part but never names a component (a component of such rows alone has a null id);
+repeated rows and ids are rows of their own, of which `keep_first` keeps one a component; an empty table gives an empty result; other
+columns are passed on by `keep_first` whatever they are called, and ignored by `simhash_dedup`.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import cluster
 from .arrays import Words, blocks, column, ragged, take_segments, text_buffer
-from .components import components
+from .components import components, first_of, named
 
 N = 23
 RADIUS = 3
@@ -207,35 +208,30 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     return replicas.withColumn("cell", F.pmod(F.xxhash64("anchor", "part"), F.lit(n_cells))).groupBy("cell").applyInArrow(compare, "a long, b long")
 
 
-def named(each: DataFrame, distinct: DataFrame, roots: DataFrame, key: str, n: int) -> DataFrame:
-    """each (n rows with the column key) with component_id; distinct: key, first_id, met; roots: node, root."""
-    # the least id of each component; a root may stand for a third of the fingerprints
-    roots = roots.select(F.col("node").alias("_node"), "root")
-    linked = distinct.join(roots, distinct[key] == roots["_node"]).select(key, "root", "first_id", "met")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    far = cluster.join_counted(linked, least, "root", "members", n).select(key, "component_id", "met")
-    alone = distinct.join(roots.select("_node"), distinct[key] == F.col("_node"), "left_anti").select(key, F.col("first_id").alias("component_id"), "met")
-    mapping = cluster.materialize(far.unionByName(alone))
-    return cluster.join_counted(each, mapping, key, "met", n)
-
-
-def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (least id reachable over links)."""
+def _labelled(rows: DataFrame, words: int, distance: int) -> DataFrame:
+    """rows: row, doc_id, text. Returns row, doc_id, fp, best (the first row of its component)."""
 
     def prints(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "fp": pa.array(fingerprints(column(batch, "text"), words).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({c: column(batch, c) for c in ("row", "doc_id")} | {"fp": pa.array(fingerprints(column(batch, "text"), words).view(np.int64))})
+
+    with cluster.Scratch(rows.sparkSession) as scratch:
+        each = scratch.table(rows.mapInArrow(prints, "row long, doc_id long, fp long"))
+        distinct = scratch.table(each.groupBy("fp").agg(F.min(F.struct(*first_of())).alias("best"), F.count(F.lit(1)).alias("met")))
+        return named(each, distinct, components(links(distinct.select("fp").repartition("fp"), distance), scratch), "fp", each.count())
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    each = cluster.materialize(rows.mapInArrow(prints, "doc_id long, fp long"))
-    distinct = cluster.materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("met")))
-    roots = components(links(distinct.select("fp").repartition("fp"), distance))
-    n = each.count()
-    out = named(each, distinct, roots, "fp", n)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+def _rows(docs: DataFrame, row, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (least id reachable over links)."""
+    out = _labelled(_rows(docs, F.monotonically_increasing_id(), id_col, text_col), words, distance)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each component, that with the least id; all columns stay. A row with a null id stays."""
-    gone = simhash_dedup(docs, id_col=id_col, text_col=text_col, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+def keep_first(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, that with the least id (of equal ids, and of rows without one, the first); all columns stay."""
+    table, row = cluster.numbered(docs)
+    return cluster.without(table, row, _labelled(_rows(table, F.col(row), id_col, text_col), words, distance).filter("row <> best.row"))

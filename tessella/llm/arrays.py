@@ -13,6 +13,9 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _WINDOW_BASE = U64(0xD1342543DE82EF95)
+#: Those of a second word hash that shares nothing with the first.
+_BYTE_2 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_BASE_2 = U64(0xA0761D6478BD642F)
 #: Text handled at a time; blocks end between documents, so a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -80,6 +83,10 @@ class Words:
     def hashes(self) -> np.ndarray:
         return segment_hash(self.buf, self.start, self.end)
 
+    def two_hashes(self) -> list[np.ndarray]:
+        """Two independent hashes of each word."""
+        return segment_hashes(self.buf, self.start, self.end, ((_BYTE, _BASE), (_BYTE_2, _BASE_2)))
+
 
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -104,16 +111,24 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def segment_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte segment: a polynomial over random byte values, mixed with the length."""
+    return segment_hashes(buf, start, end, ((_BYTE, _BASE),))[0]
+
+
+def segment_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, kinds) -> list[np.ndarray]:
+    """segment_hash for each (byte values, base) of kinds."""
     if not len(start):
-        return np.zeros(0, U64)
+        return [np.zeros(0, U64) for _ in kinds]
     lens = end - start
     pos = ragged(lens)
-    value = _BYTE[buf[np.repeat(start, lens) + pos]] * powers(_BASE, int(lens.max()))[pos]
+    data = buf[np.repeat(start, lens) + pos]
     at = np.cumsum(lens) - lens
     full = lens > 0
-    h = np.zeros(len(start), U64)
-    h[full] = np.add.reduceat(value, at[full])
-    return mix(h + lens.astype(U64) * U64(0x2545F4914F6CDD1D))
+    out = []
+    for value, base in kinds:
+        h = np.zeros(len(start), U64)
+        h[full] = np.add.reduceat(value[data] * powers(base, int(lens.max()))[pos], at[full])
+        out.append(mix(h + lens.astype(U64) * U64(0x2545F4914F6CDD1D)))
+    return out
 
 
 def ragged(lens: np.ndarray) -> np.ndarray:

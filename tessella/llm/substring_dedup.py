@@ -1,17 +1,18 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted across the corpus.
 
-Documents are dealt into units by a hash of their id. A unit hashes all its windows and sends each owner (a range of the
+Documents are dealt into units by a hash of id and text. A unit hashes all its windows and sends each owner (a range of the
 hash space) its distinct hashes, sorted, with the smallest id that holds each; an owner answers with one bit per hash: does
 a smaller id hold it elsewhere? With that bit a unit decides all its windows, merges the repeated ones into maximal removal
 intervals and cuts the texts. What travels is about 9 bytes a distinct window, and the hash of a passage that a third of
-all documents share is sent once a unit.
+all documents share is sent once a unit. Units and owners grow with the square root of the corpus, so what one unit sends one
+owner stays a few hundred windows and the number of such messages grows with the corpus, not with its square.
 
-A window's hash has 80 bits: two polynomials of different bases over the words' hashes. Among 10 ** 13 windows about 40 are
-expected to meet a different window of equal hash.
+A window's hash has 80 bits: 64 of a polynomial over one hash of its words and 16 of another polynomial over a second, independent
+hash of them. Among 10 ** 13 windows about 40 are expected to meet a different window of equal hash.
 
-Nulls and edges: null or empty text has no words; a text under the window's length loses nothing; a row with a null id
-keeps its whole text and lends nothing; rows with equal ids never remove from each other; an empty table gives an
-empty result; other columns are ignored.
+Nulls and edges: null or empty text has no words; a text under the window's length loses nothing; a very long text is one block of
+its own; a row with a null id keeps its whole text and lends nothing (so it takes no part in the exchange); rows with equal ids never
+remove from each other; repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from . import cluster
 from .arrays import U64, Words, blocks, column, strings, take_segments, text_buffer, window_hash
 
-#: Bytes of text per unit, and of all units' text per owner: both sides of the exchange hold that much at a time.
+#: Bytes of text per unit, and of all units' text per owner, at least: both sides of the exchange hold that much at a time.
 UNIT_BYTES = 8 << 20
-OWNER_BYTES = 8 << 20
+#: Bytes of text whose windows one unit sends one owner on average, in a corpus of over UNIT_BYTES ** 2 / MESSAGE_BYTES (50 GB); at 100 TB units have 374 MB.
+MESSAGE_BYTES = 1400
 _SECOND = U64(0xBF58476D1CE4E5B9)
 
 
@@ -47,19 +49,14 @@ def _windows(table: pa.Table, size: int):
     buf, off = text_buffer(column(table, "text"))
     for i, j in blocks(off):
         w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-        each = w.hashes()
-        h, more = window_hash(each, size), window_hash(each * _SECOND, size, _SECOND) >> U64(48)
+        one, two = w.two_hashes()
+        h, more = window_hash(one, size), window_hash(two, size, _SECOND) >> U64(48)
         left = w.first[1:] - size  # the last window of a document starts here
         doc = w.docs()[: len(h)]
         at = np.flatnonzero(np.arange(len(h)) <= left[doc])
         yield _Block(i, w, at, doc[at], h[at], more[at].astype(np.uint16))
 
 
-def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = column(table, "doc_id")
-    return ids.fill_null(0).to_numpy(zero_copy_only=False), ~ids.is_null().to_numpy(zero_copy_only=False)
-
-
 def _distinct(h: np.ndarray, more: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes in two parts, the smallest id of each, and each window's place among them."""
     order = np.argsort(h, kind="stable")
@@ -126,17 +123,16 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = cluster.text_bytes(rows)
-    n_units = cluster.units(spark, total, UNIT_BYTES)
-    owners = cluster.units(spark, total, OWNER_BYTES)
-    dealt = rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_units)).cast("int"))
+    n_units = owners = cluster.units(spark, total, max(UNIT_BYTES, int((total * MESSAGE_BYTES) ** 0.5)))
+    deal = lambda df, key: df.repartition(cluster.tasks(spark, n_units), key).groupBy(key)
+    unknown = rows.filter("doc_id is null")
+    dealt = deal(rows.filter("doc_id is not null").withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_units)).cast("int")), "unit")
 
     def distinct(table: pa.Table, made: list[_Block]):
-        """Over the windows of documents with an id, in their order."""
-        ids, known = _ids(table)
-        keep = [known[b.first + b.doc] for b in made]
-        h = np.concatenate([np.zeros(0, U64), *[b.hash[k] for b, k in zip(made, keep, strict=True)]])
-        more = np.concatenate([np.zeros(0, np.uint16), *[b.more[k] for b, k in zip(made, keep, strict=True)]])
-        own = np.concatenate([np.zeros(0, np.int64), *[ids[b.first + b.doc][k] for b, k in zip(made, keep, strict=True)]])
+        ids = column(table, "doc_id").to_numpy()
+        h = np.concatenate([np.zeros(0, U64), *[b.hash for b in made]])
+        more = np.concatenate([np.zeros(0, np.uint16), *[b.more for b in made]])
+        own = np.concatenate([np.zeros(0, np.int64), *[ids[b.first + b.doc] for b in made]])
         return _distinct(h, more, own)
 
     def send(table: pa.Table) -> pa.Table:
@@ -160,7 +156,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         return pa.table({"unit": column(table, "unit").take(pa.array(keep, pa.int64())), "owner": pa.array([owner] * len(keep), pa.int32()), "bitmap": pa.array([maps[i] for i in keep], pa.binary())})
 
     def cut_out(table: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, known = _ids(table)
+        ids = column(table, "doc_id").to_numpy()
         made = list(_windows(table, window))
         h, _, least, place = distinct(table, made)
         own = _owners(h, owners)
@@ -170,43 +166,50 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
             elsewhere[i:j] = np.unpackbits(np.frombuffer(m, np.uint8))[: j - i]
         least = np.where(elsewhere, np.iinfo(np.int64).min, least)
         out, upto = [], 0
-        for i, w, at, d, *_ in made:
-            gone = np.zeros(len(at), bool)
-            k = known[i + d]
-            mine = place[upto : upto + int(k.sum())]
+        for b in made:
+            mine = place[upto : upto + len(b.at)]
             upto += len(mine)
-            gone[k] = least[mine] < ids[i + d][k]
-            n = len(w.start)
-            edge = np.bincount(at[gone], minlength=n + 1) - np.bincount(at[gone] + window, minlength=n + 1)[: n + 1]
-            lost = np.cumsum(edge)[:n] > 0
-            docs_of = w.docs()
-            kept = ~lost
-            data, off = take_segments(w.buf, w.start[kept], w.end[kept], docs_of[kept], len(w.counts))
-            # maximal intervals: a run of lost words within one document
-            step = np.flatnonzero(np.diff(lost.astype(np.int8), prepend=0, append=0) | np.isin(np.arange(n + 1), w.first[1:-1]))
-            begin = step[(step < n)]
-            begin = begin[lost[begin]]
-            stop = step[np.searchsorted(step, begin, "right")]
-            where = docs_of[begin]
-            spans = np.stack([begin - w.first[where], stop - 1 - w.first[where]], 1).ravel()
-            per = np.bincount(where, minlength=len(w.counts))
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": column(table, "doc_id").slice(i, len(w.counts)),
-                        "n_words": pa.array(w.counts, pa.int64()),
-                        "n_removed": pa.array(np.bincount(docs_of[lost], minlength=len(w.counts)), pa.int64()),
-                        "kept_text": strings(data, off),
-                        "removed": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * per)]), pa.int32()), pa.array(spans, pa.int64())),
-                    }
-                )
-            )
+            out.append(_cut(table, b, least[mine] < ids[b.first + b.doc], window))
         return pa.concat_tables(out)
 
-    blobs = dealt.groupBy("unit").applyInArrow(send, "owner int, unit int, blob binary")
-    replies = blobs.groupBy("owner").applyInArrow(answer, "unit int, owner int, bitmap binary")
-    done = dealt.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>")
-    return done
+    def whole(batches):
+        for batch in batches:
+            for b in _windows(batch, window):
+                yield from _cut(batch, b, np.zeros(len(b.at), bool), window).combine_chunks().to_batches()
+
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>"
+    blobs = dealt.applyInArrow(send, "owner int, unit int, blob binary")
+    replies = deal(blobs, "owner").applyInArrow(answer, "unit int, owner int, bitmap binary")
+    done = dealt.cogroup(deal(replies, "unit")).applyInArrow(cut_out, schema)
+    return done.unionByName(unknown.mapInArrow(whole, schema))
+
+
+def _cut(table: pa.Table | pa.RecordBatch, block: _Block, gone: np.ndarray, window: int) -> pa.Table:
+    """The documents of a block without the words that the windows gone cover."""
+    w, at = block.words, block.at
+    n = len(w.start)
+    edge = np.bincount(at[gone], minlength=n + 1) - np.bincount(at[gone] + window, minlength=n + 1)[: n + 1]
+    lost = np.cumsum(edge)[:n] > 0
+    docs_of = w.docs()
+    kept = ~lost
+    data, off = take_segments(w.buf, w.start[kept], w.end[kept], docs_of[kept], len(w.counts))
+    # maximal intervals: a run of lost words within one document
+    step = np.flatnonzero(np.diff(lost.astype(np.int8), prepend=0, append=0) | np.isin(np.arange(n + 1), w.first[1:-1]))
+    begin = step[(step < n)]
+    begin = begin[lost[begin]]
+    stop = step[np.searchsorted(step, begin, "right")]
+    where = docs_of[begin]
+    spans = np.stack([begin - w.first[where], stop - 1 - w.first[where]], 1).ravel()
+    per = np.bincount(where, minlength=len(w.counts))
+    return pa.table(
+        {
+            "doc_id": column(table, "doc_id").slice(block.first, len(w.counts)),
+            "n_words": pa.array(w.counts, pa.int64()),
+            "n_removed": pa.array(np.bincount(docs_of[lost], minlength=len(w.counts)), pa.int64()),
+            "kept_text": strings(data, off),
+            "removed": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * per)]), pa.int32()), pa.array(spans, pa.int64())),
+        }
+    )
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ Ranges of the curve are packed independently. A range's last tokens are cut at p
 so no sequence has any.
 
 Nulls and edges: null text counts as empty (its end id alone is packed); a null id is kept as null; repeated rows are packed each;
-an empty table gives an empty result; other columns are ignored. Equal keys are spread by a hash, so a group of copies may be
-cut into several ranges.
+very long texts are cut into as many pieces as they need; an empty table gives an empty result; other columns are ignored. Equal keys
+are spread by a hash of the row's number, so a group of copies, even of fully equal rows, may be cut into several ranges.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from .arrays import column
 from .tokens import encoder, vocabulary, with_end
 
 DIMS, BITS, BUCKETS = 3, 10, 4096
+#: Bytes of text per range. Beyond cluster.MOST_TASKS ranges they get longer instead; a task streams through its range, whatever its length.
 PART_BYTES = 4 << 20
-#: Documents whose keys set the ranges' bounds, per range. Only the ranges' evenness depends on it; the grid is of all documents.
+#: Documents whose keys set the ranges' bounds, per range; so no more than SAMPLE * cluster.MOST_TASKS keys reach the driver. Only the ranges' evenness depends on it; the grid is of all documents.
 SAMPLE = 64
 _GAUSS = np.random.Generator(np.random.PCG64(7)).normal(size=(BUCKETS, DIMS))
 
@@ -137,9 +138,9 @@ def pack(docs: DataFrame, length: int = 2048, vocab: str | None = None, end_id:
         raise ValueError("length must be a power of two")
     spark = docs.sparkSession
     vocab = vocab or vocabulary()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
     sizes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    n_parts = cluster.units(spark, sizes["b"], PART_BYTES)
+    n_parts = cluster.tasks(spark, cluster.units(spark, sizes["b"], PART_BYTES))
 
     axes = [f"x{k}" for k in range(DIMS)]
 

@@ -42,7 +42,9 @@ def test_encoder_forgets(monkeypatch):
 def test_elias_fano(gaps):
     v = np.cumsum(np.array(gaps, np.int64))
     ef = token_files.EliasFano(token_files.EliasFano.encode(v))
-    assert ef.all().tolist() == v.tolist()
+    assert ef.selects(0, len(v)).tolist() == v.tolist()
+    for i in range(0, len(v), 7):
+        assert ef.selects(i, min(len(v), i + 70)).tolist() == v[i : i + 70].tolist()
     assert [ef.select(i) for i in range(len(v))] == v.tolist()
 
 
@@ -66,6 +68,29 @@ def test_token_file_round_trip(spark, tmp_path, monkeypatch):
     assert token_files.read_token_file(spark, f"{tmp_path}/e").collect() == []
 
 
+def test_token_file_slices_random_access_and_wide_end_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 3)
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 40)
+    df, ids = docs(spark, TEXTS * 5, list(range(5 * len(TEXTS))))
+    token_files.write_token_file(df, f"{tmp_path}/t", end_id=70_000)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_token_file(spark, f"{tmp_path}/t").collect()}
+    want = {i: [*ids_of(t)[:-1], 70_000] for i, t in zip(ids, TEXTS * 5, strict=True)}
+    assert got == want
+    for k in (0, 1, len(want) // 2, len(want) - 1):
+        assert token_files.read_document(spark, f"{tmp_path}/t", k).tolist() == want[k]
+
+
+def test_equal_rows_spread_over_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_BYTES", 20_000)
+    monkeypatch.setattr(packing, "PART_BYTES", 20_000)
+    df = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'the same text' as text")
+    token_files.write_token_file(df, f"{tmp_path}/t")
+    parts = [r["n"] for r in spark.read.parquet(f"{tmp_path}/t").groupBy("part").agg({"n_ids": "sum"}).toDF("part", "n").collect()]
+    assert len(parts) > 5 and max(parts) < sum(parts) / 4
+    ranges = [r["count"] for r in packing.pack(df).selectExpr("sequence_id >> 40 as part").groupBy("part").count().collect()]
+    assert len(ranges) > 5 and max(ranges) < sum(ranges) / 4
+
+
 def test_hilbert_neighbours_differ_by_one():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     key = packing.hilbert(side, 3)

@@ -222,11 +222,12 @@ def remainder(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 2) -> RuleEnsemble:
-    """Fits on labelled rows whose remainder is not held_out, MOST_ROWS of them at most."""
+    """Fits on labelled rows whose remainder is not held_out, the MOST_ROWS of least hash; ids and rows may repeat."""
     known = labels.filter(F.col(label_col).isNotNull() & (remainder(id_col) != held_out)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(MOST_ROWS)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")  # MOST_ROWS ids and labels
-    seen = with_statistics(rows, ["_id", "_label"]).toPandas().sort_values(["_id", "_label", *STATS])
+    order = ["_id", "_label", *STATS]
+    seen = with_statistics(rows, ["_id", "_label"]).orderBy(F.xxhash64("_id"), *order).limit(MOST_ROWS).toPandas().sort_values(order)
     return RuleEnsemble.fit(seen[list(STATS)].to_numpy(float), seen["_label"].to_numpy(float))
 
 

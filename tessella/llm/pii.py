@@ -6,8 +6,9 @@ batches. Ordinary words far from any word with a digit, an @ or a cue all have t
 no path leaves the ordinary state there (`Field.settled`), so only the words around the others are decoded, with the same result
 as decoding every line whole.
 
-Nulls and edges: null text counts as empty and has no spans; a null id is passed on; rows are read one by one; other columns are
-ignored. All patterns run in time linear in the text.
+Nulls and edges: null text counts as empty and has no spans (`mask_pii` leaves it null); a null id is passed on; rows are read one by one, so
+repeated rows get equal results; an empty table gives an empty result; other columns are ignored, whatever they are called. Very long texts are
+read whole: patterns, field and the merging of spans take time linear in the text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, blocks, column, text_buffer
-from .spans import SPANS, Points, overlaps
+from .spans import SPANS, Points, outside
 
 KINDS = ("email", "ip", "card", "phone")
 STATES = ("O", *KINDS)
@@ -79,7 +80,9 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
 # ---- the field ----
 
 BUCKETS = 1 << 12
-CUES = ("at", "(at)", "[at]", "{at}", "dot", "(dot)", "[dot]", "{dot}", "tel", "tel:", "phone", "phone:", "call", "mobile:", "fax:", "card", "card:", "visa", "e-mail:", "email:", "mail:", "ip", "ip:")
+CUES = ("at", "(at)", "[at]", "{at}", "dot", "(dot)", "[dot]", "{dot}", "tel", "tel:", "phone", "phone:", "call", "mobile:", "fax:", "card", "card:", "visa", "e-mail:", "email:", "mail:", "ip", "ip:", "com", "org", "net", "edu", "io", "de", "fr", "uk")
+#: An "at" in brackets within a word.
+_GLUED = (b"(at)", b"[at]", b"{at}")
 REACH = 2
 #: Fixed weight of every kind for a plain word whose neighbours are plain as well: such a word is never personal data.
 AMONG_PLAIN = -30.0
@@ -88,17 +91,18 @@ _OPEN = b"\"'([{<"
 
 
 def features(word: bytes) -> tuple[int, ...]:
-    """Buckets of a word's own features: shape with run lengths, coarse shape, cue. Very long words share one shape."""
-    return _features(word) if len(word) <= 64 else _LONG
+    """Buckets of a word's own features: shape with run lengths, coarse shape, cue. Only short words are remembered, by the same rule."""
+    return _remembered(word) if len(word) <= 64 else _features(word)
 
 
-@lru_cache(100_000)
 def _features(word: bytes) -> tuple[int, ...]:
     low = word.lower()
     core = low.strip(_TRIM + _OPEN)
     has_digit = any(48 <= c < 58 for c in core)
     if low.decode(errors="replace") in CUES or core.decode(errors="replace") in CUES:
         names = ["cue=" + core.decode(errors="replace")]
+    elif any(g in core for g in _GLUED):
+        names = ["glued", "glued-dot" if b"." in core or b"dot" in core else "glued-open"]
     elif not has_digit and b"@" not in core:
         names = ["plain"]
     else:
@@ -115,28 +119,34 @@ def _bucket(name: str) -> int:
     return (h ^ h >> 15) % BUCKETS
 
 
+_remembered = lru_cache(100_000)(_features)
+
+
 def interesting(word: bytes) -> bool:
     return features(word) != _PLAIN
 
 
 _PLAIN = (_bucket("plain"),)
-_LONG = (_bucket("long"),)
 #: Digits that a span found by the field alone must hold.
 PLAUSIBLE = {"email": (0, 64), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 
 
-def labelled_lines(n: int = 1500, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+def labelled_lines(n: int = 2000, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """A small labelled table: lines of ordinary words and numbers with personal data in plain and in disguised forms."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choices("0123456789", k=k))
     name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
-    end = lambda: rng.choice(["com", "org", "net", "de"])
+    end = lambda: rng.choice(["com", "org", "net", "edu", "io", "de", "fr", "uk"])
     forms = {
         "email": [
             lambda: [f"{name()}{d(rng.randrange(3))}@{name()}.{end()}"],
             lambda: [name(), rng.choice(["(at)", "[at]", "{at}"]), name(), rng.choice(["dot", "(dot)", "[dot]", "{dot}"]), end()],
             lambda: [name(), "at", name(), "dot", end()],
-            lambda: [name(), rng.choice(["(at)", "[at]"]), f"{name()}.{end()}"],
+            lambda: [name(), rng.choice(["(at)", "[at]", "{at}"]), f"{name()}{rng.choice(['', '-' + name()])}.{end()}"],
+            lambda: [f"{name()}.{name()}{rng.choice(['(at)', '[at]', '{at}'])}{name()}.{end()}"],
+            lambda: [f"{name()}{rng.choice(['(at)', '[at]', '{at}'])}{name()}{rng.choice(['(dot)', '[dot]', '{dot}'])}{end()}"],
+            lambda: [name(), "dot", name(), "at", name(), "dot", end()],
+            lambda: [name(), "dot", name(), "at", name(), "dot", end()],
         ],
         "ip": [lambda: [".".join(str(rng.randrange(256)) for _ in range(4))]],
         "card": [lambda: [d(4) for _ in range(4)], lambda: ["-".join(d(4) for _ in range(4))]],
@@ -145,20 +155,27 @@ def labelled_lines(n: int = 1500, seed: int = 5) -> list[tuple[list[str], list[s
             lambda: [f"+{d(2)}-{d(3)}-{d(4)}"],
             lambda: [f"({d(3)})", f"{d(3)}-{d(4)}"],
             lambda: [f"{d(3)}-{d(3)}-{d(4)}"],
+            lambda: [f"{d(3)}.{d(3)}.{d(4)}"],
+            lambda: ["0" + d(3), d(3), d(4)],
+            lambda: ["0" + d(2), d(4), d(4)],
+            lambda: [f"0{d(3)}/{d(rng.randrange(6, 9))}"],
+            lambda: [f"(0{d(rng.randrange(2, 4))})", d(rng.randrange(6, 8))],
         ],
     }
-    cue = {"email": ["mail:", "e-mail:"], "ip": ["ip"], "card": ["card", "visa"], "phone": ["tel:", "phone", "call"]}
+    cue = {"email": ["mail:", "e-mail:", "email:"], "ip": ["ip", "ip:"], "card": ["card", "visa", "card:"], "phone": ["tel:", "tel", "phone", "phone:", "call", "fax:", "mobile:"]}
     plain = [
         lambda: [d(rng.randrange(1, 7))], lambda: [f"{d(2)}.{d(2)}.{d(4)}"], lambda: [f"{d(4)}-{d(2)}-{d(2)}"], lambda: [f"{d(1)}.{d(2)}"], lambda: [f"{name()}{d(2)}"], lambda: [d(rng.randrange(8, 20))],
         lambda: [f"v{d(1)}.{d(1)}.{d(1)}"], lambda: [f"{d(2)}:{d(2)}"], lambda: ["@" + name()], lambda: ["at"], lambda: ["at", name(), "at"], lambda: [name(), "at", name()], lambda: ["dot"], lambda: ["call"], lambda: ["card"], lambda: [d(2) + "%"], lambda: [d(1) + "," + d(3)],
         lambda: [d(20) + name()], lambda: [d(rng.randrange(20, 120))], lambda: [name() * 20 + d(3)], lambda: [rng.choice(["ip", "phone", "mail:"]), name()], lambda: [d(3), d(3)], lambda: [d(4), d(4)],
+        lambda: [f"{d(3)}-{d(2)}-{d(4)}"], lambda: [f"{d(2)}.{d(1)}.{d(5)}.{d(rng.randrange(1, 4))}"], lambda: ["dot", "dot"], lambda: ["at", name(), "dot", "dot"], lambda: [f"{name()[:2].upper()}{d(2)}", *[d(4) for _ in range(4)], d(2)],
+        lambda: [f"{d(4)}-{d(4)}"], lambda: [f"{d(2)}/{d(2)}/{d(4)}"], lambda: ["at", name(), "dot", name()], lambda: [name(), "at", name(), name(), "dot", name()], lambda: [name(), "dot", name(), "at", name()], lambda: [end()], lambda: [name() + "(" + name() + ")"], lambda: [f"{d(3)}.{d(3)}.{d(3)}"], lambda: [f"{d(4)}/{d(4)}"],
     ]
     out = []
     for _ in range(n):
         words: list[str] = []
         tags: list[str] = []
         for _ in range(rng.randrange(1, 5)):
-            k = rng.randrange(1, 7)
+            k = rng.randrange(0, 7)
             words += [name().capitalize() if rng.random() < 0.2 else name() for _ in range(k)]
             tags += ["O"] * k
             x = rng.random()
@@ -205,28 +222,34 @@ class Field:
         return out
 
     def scores(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self.emit[x].sum(0) for x in self.rows(words)])
+        rows = self.rows(words)
+        at = np.cumsum([0, *map(len, rows)])
+        return np.add.reduceat(self.emit[[b for x in rows for b in x]], at[:-1])
 
     @classmethod
-    def train(cls, lines: list[tuple[list[str], list[str]]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> Field:
+    def train(cls, lines: list[tuple[list[str], list[str]]], epochs: int = 16, rate: float = 0.4, decay: float = 1e-4, seed: int = 3) -> Field:
         """Stochastic gradient (AdaGrad) on the conditional log-likelihood, by forward-backward over batches of padded lines."""
         k = len(STATES)
         code = {s: i for i, s in enumerate(STATES)}
-        data = [(cls.rows([w.encode() for w in ws]), np.array([code[t] for t in ts])) for ws, ts in lines if ws]
+        data = []
+        for ws, ts in lines:
+            if ws:
+                x = cls.rows([w.encode() for w in ws])
+                data.append((np.array([b for r in x for b in r]), np.array([len(r) for r in x]), np.array([code[t] for t in ts])))
         emit, move = np.zeros((3 * BUCKETS + 1, k)), np.zeros((k, k))
         emit[-1, 1:] = AMONG_PLAIN
         g_emit, g_move = np.full_like(emit, 1e-6), np.full_like(move, 1e-6)
+        free = (np.arange(len(emit)) < 3 * BUCKETS)[:, None]
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
                 batch = [data[i] for i in part]
-                b, longest = len(batch), max(len(y) for _, y in batch)
-                lens = np.array([len(y) for _, y in batch])
-                flat = [(i, t, j) for i, (x, _) in enumerate(batch) for t, js in enumerate(x) for j in js]
-                at = np.array(flat)
-                e = np.zeros((b, longest, k))
-                np.add.at(e, (at[:, 0], at[:, 1]), emit[at[:, 2]])
+                lens = np.array([len(y) for _, _, y in batch])
+                b, longest = len(batch), int(lens.max())
+                feats, per, gold = (np.concatenate([x[j] for x in batch]) for j in range(3))
                 real = np.arange(longest) < lens[:, None]
+                e = np.zeros((b, longest, k))
+                e[real] = np.add.reduceat(emit[feats], np.cumsum(per) - per)
                 fwd = np.empty_like(e)
                 fwd[:, 0] = e[:, 0]
                 for t in range(1, longest):
@@ -239,14 +262,16 @@ class Field:
                     on = real[:, t + 1]
                     bwd[:, t] = np.where(on[:, None], _lse(step, 2), bwd[:, t + 1])
                     g -= np.exp(fwd[:, t, :, None] + step - z[:, None, None])[on].sum(0)
-                p = -np.exp(fwd + bwd - z[:, None, None]) * real[..., None]
-                for i, (_, y) in enumerate(batch):
-                    p[i, np.arange(len(y)), y] += 1
-                    np.add.at(g, (y[:-1], y[1:]), 1)
-                ge = np.zeros_like(emit)
-                np.add.at(ge, at[:, 2], p[at[:, 0], at[:, 1]])
+                p = -np.exp(fwd + bwd - z[:, None, None])[real]
+                p[np.arange(len(gold)), gold] += 1
+                inner = np.ones(len(gold), bool)
+                inner[np.cumsum(lens) - 1] = False
+                at = np.flatnonzero(inner)
+                g += np.bincount(gold[at] * k + gold[at + 1], minlength=k * k).reshape(k, k)
+                rows = np.repeat(p, per, axis=0)
+                ge = np.stack([np.bincount(feats, rows[:, j], len(emit)) for j in range(k)], 1)
                 ge[-1] = 0
-                ge, g = ge / b - decay * emit * (np.arange(len(emit)) < 3 * BUCKETS)[:, None], g / b - decay * move
+                ge, g = ge / b - decay * emit * free, g / b - decay * move
                 g_emit += ge**2
                 g_move += g**2
                 emit += rate * ge / np.sqrt(g_emit)
@@ -325,13 +350,20 @@ def _marked(w: Words) -> np.ndarray:
         a += (a < b) & _EDGE[w.buf[np.minimum(a, len(w.buf) - 1)]]
         b -= (a < b) & _EDGE[w.buf[np.maximum(b - 1, 0)]]
     odd = (a < b) & (_EDGE[w.buf[np.minimum(a, len(w.buf) - 1)]] | _EDGE[w.buf[np.maximum(b - 1, 0)]])
+    low = _LOWER[w.buf].tobytes()
+    for g in _GLUED:
+        p = low.find(g)
+        while p >= 0:
+            k = int(np.searchsorted(w.start, p, "right")) - 1
+            hit[k] |= k >= 0 and p + len(g) <= w.end[k]
+            p = low.find(g, p + 1)
     n = b - a
     key = np.zeros(len(a), np.uint64)
     for k in range(8):
         on = k < n
         key[on] |= _LOWER[w.buf[a[on] + k]].astype(np.uint64) << np.uint64(8 * k)
     at = np.minimum(np.searchsorted(_CUE_WORDS, key), len(_CUE_WORDS) - 1)
-    return hit | ((n <= 8) & (n > 0) & (_CUE_WORDS[at] == key)) | odd | (w.end - w.start > 64)
+    return hit | ((n <= 8) & (n > 0) & (_CUE_WORDS[at] == key)) | odd
 
 
 def _line_starts(w: Words) -> np.ndarray:
@@ -414,9 +446,11 @@ def find(texts: pa.Array, field: Field) -> list[list[dict]]:
         for d in np.flatnonzero(has).tolist():
             at = int(off[d])
             found[d] = [(k, at + a, at + b, True) for k, a, b in base_spans(data[at : int(off[d + 1])])]
+        added: dict[int, list[tuple[str, int, int]]] = {}
         for d, kind, a, b in field_spans(Words(buf, off), field, everything):
-            if not overlaps([(x, y) for _, x, y, _ in found[d]], a, b):
-                found[d].append((kind, a, b, False))
+            added.setdefault(d, []).append((kind, a, b))
+        for d, more in added.items():
+            found[d] += [(*more[k], False) for k in outside([(x, y) for _, x, y, _ in found[d]], [(a, b) for _, a, b in more])]
         points = Points(buf)
         for d, spans in enumerate(found):
             at = int(off[d])
@@ -438,8 +472,8 @@ def _masked(text: str | None, spans: list[dict]) -> str | None:
 
 
 def find_pii(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", most_lines: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, spans (kind, start, end in code points, base). labelled: words array<string>, tags array<string>; up to most_lines rows of it train the field."""
-    field = default_field() if labelled is None else Field.train([(r["words"], r["tags"]) for r in labelled.limit(most_lines).collect()])
+    """One row per document: doc_id, spans (kind, start, end in code points, base). labelled: words array<string>, tags array<string>; the most_lines rows of it with the least hashes train the field."""
+    field = default_field() if labelled is None else Field.train([(r["words"], r["tags"]) for r in labelled.orderBy(F.xxhash64("words", "tags"), "words", "tags").limit(most_lines).collect()])
 
     def run(batches):
         for batch in batches:

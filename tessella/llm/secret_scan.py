@@ -4,8 +4,9 @@ One model is of random strings, the other of ordinary identifiers, both trained
 others are given). A run of at least SHORTEST token characters is added if its log-likelihood ratio exceeds both THRESHOLD and
 PER_CHAR times its length.
 
-Nulls and edges: null text counts as empty and has no spans; a null id is passed on; rows are read one by one; other columns are
-ignored. All patterns run in time linear in the text.
+Nulls and edges: null text counts as empty and has no spans; a null id is passed on; rows are read one by one, so repeated rows get equal
+results; an empty table gives an empty result; other columns are ignored. Very long texts are read whole: patterns, models and the merging of
+spans take time linear in the text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, column, text_buffer
-from .spans import SPANS, Points, overlaps
+from .spans import SPANS, Points, outside
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -70,6 +71,9 @@ def labelled_samples(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
     onset = ["b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "v", "w", "st", "tr", "pr", "ch", "th", "sh", "qu", "bl", "gr", "", ""]
     nucleus = ["a", "e", "i", "o", "u", "ea", "ou", "ai", "io", "ee"]
     coda = ["", "", "", "n", "r", "s", "t", "l", "nt", "nd", "st", "ng", "rs", "ck", "ss", "m"]
+    # fixed values: frequent German stems and word endings, as compounds join them
+    roots = ["donau", "dampf", "schiff", "fahrt", "gesell", "haupt", "stadt", "kraft", "werk", "licht", "recht", "schutz", "ver", "ge", "be", "ein", "aus", "auf", "leb", "arbeit", "wirt", "land", "zeit", "gleich", "wissen", "eigen", "bund", "sicher", "unter", "nehm"]
+    endings = ["", "s", "en", "ung", "ungs", "schaft", "schafts", "heit", "keit", "keits", "lich", "isch", "tum", "nis", "er", "ern", "chen", "bar", "sam", "los"]
     word = lambda: "".join(rng.choice(onset) + rng.choice(nucleus) + rng.choice(coda) for _ in range(rng.randrange(1, 4)))
     joins = [
         lambda ws: "_".join(ws), lambda ws: "-".join(ws), lambda ws: "/".join(ws), lambda ws: ws[0] + "".join(w.capitalize() for w in ws[1:]), lambda ws: "".join(w.capitalize() for w in ws), lambda ws: "".join(ws),
@@ -80,8 +84,11 @@ def labelled_samples(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
     for _ in range(n):
         out.append(("".join(rng.choices(rng.choice(alphabets), k=rng.randrange(20, 48))), 1))
         x = rng.random()
-        if x < 0.8:
+        if x < 0.7:
             out.append((rng.choice(joins)([word() for _ in range(rng.randrange(3, 8))]), 0))
+        elif x < 0.8:  # long agglutinated words: stems and endings run together
+            stems = [rng.choice(roots) + rng.choice(endings) for _ in range(rng.randrange(2, 6))]
+            out.append((("".join(stems) + rng.choice(endings)).capitalize() if rng.random() < 0.5 else "".join(stems), 0))
         elif x < 0.88:
             out.append(("".join(rng.choices("0123456789", k=rng.randrange(8, 40))), 0))
         else:
@@ -139,11 +146,13 @@ def find(texts: pa.Array, model: np.ndarray) -> list[list[dict]]:
             at = int(off[d])
             found[d] = [(k, at + x, at + y, True) for k, x, y in base_spans(data[at : int(off[d + 1])], bool(cued[d]))]
         a, b = runs(_TOKEN[buf], off, SHORTEST)
+        likely: dict[int, list[tuple[int, int]]] = {}
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            d = int(np.searchsorted(off, x, "right")) - 1
             total, each = ratio(model, buf[x:y])
-            if total > THRESHOLD and each > PER_CHAR and not overlaps([(u, v) for _, u, v, _ in found[d]], x, y):
-                found[d].append(("random", x, y, False))
+            if total > THRESHOLD and each > PER_CHAR:
+                likely.setdefault(int(np.searchsorted(off, x, "right")) - 1, []).append((x, y))
+        for d, more in likely.items():
+            found[d] += [("random", *more[k], False) for k in outside([(u, v) for _, u, v, _ in found[d]], more)]
         points = Points(buf)
         for d, spans in enumerate(found):
             at = int(off[d])
@@ -156,8 +165,8 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 
 def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", most_samples: int = 50_000) -> DataFrame:
-    """One row per document: doc_id, spans (kind, start, end in code points, base). samples: text, label (1 random); up to most_samples rows of it train the models."""
-    model = default_model() if samples is None else train([(r["text"], r["label"]) for r in samples.limit(most_samples).collect()])
+    """One row per document: doc_id, spans (kind, start, end in code points, base). samples: text, label (1 random); the most_samples rows of it with the least hashes train the models."""
+    model = default_model() if samples is None else train([(r["text"], r["label"]) for r in samples.orderBy(F.xxhash64("text", "label"), "text", "label").limit(most_samples).collect()])
 
     def run(batches):
         for batch in batches:

@@ -35,5 +35,16 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in taken)
+def outside(taken: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[int]:
+    """Indexes of the spans of `more` that overlap none of `taken` and none chosen before them; `more` ascends by start. Sorted once and merged."""
+    out, i, end = [], 0, -1
+    taken = sorted(taken)
+    reach = -1  # the furthest end of the taken spans that start before the one looked at
+    for k, (a, b) in enumerate(more):
+        while i < len(taken) and taken[i][0] <= a:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if a >= reach and a >= end and not (i < len(taken) and taken[i][0] < b):
+            out.append(k)
+            end = b
+    return out

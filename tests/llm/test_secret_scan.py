@@ -56,3 +56,31 @@ def test_own_samples(spark):
     docs = spark.createDataFrame([(1, "a" * 30), (2, "b" * 30)], "doc_id long, text string")
     rows = {r.doc_id: [s.kind for s in r.spans if not s.base] for r in ss.find_secrets(docs, df).collect()}
     assert rows[2] == []
+
+
+def test_long_compounds_are_ordinary():
+    words = ["Donaudampfschifffahrtsgesellschaft", "Rechtsschutzversicherungsgesellschaften", "eineinkeitchzukeitheit", "Arbeiterunfallversicherungsgesetz", "Kraftfahrzeughaftpflichtversicherung", "getElementsByClassNameAndTagName"]
+    assert ss.find(pa.array(words), ss.default_model()) == [[]] * len(words)
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "xoxb" + "7Q2fK9dPz1LmX8vR4tYw", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"]
+    assert all(len(s) == 1 and s[0]["kind"] == "random" for s in ss.find(pa.array(keys), ss.default_model()))
+
+
+def test_added_spans_against_plain_code():
+    """Each run of token characters, judged piece by piece in plain Python."""
+    import math
+    import random
+    import re
+
+    model, rng = ss.default_model(), random.Random(2)
+    texts = [" ".join(rng.choice([t for t, _ in ss.labelled_samples(60, rng.randrange(10**6))]) for _ in range(8)) for _ in range(60)]
+    for text, spans in zip(texts, ss.find(pa.array(texts), model), strict=True):
+        base = [(s["start"], s["end"]) for s in spans if s["base"]]
+        want = []
+        for m in re.finditer(r"[0-9A-Za-z+/_=-]{20,}", text):
+            run = m[0].encode()
+            step = [model[a, b] for a, b in zip(b"\0" + run[:-1], run, strict=True)]
+            size = min(ss.PIECE, len(run))
+            best = max(math.fsum(step[i : i + size]) for i in range(len(run) - size + 1))
+            if best > ss.THRESHOLD and best / size > ss.PER_CHAR and not any(x < m.end() and m.start() < y for x, y in base):
+                want.append(m.span())
+        assert [(s["start"], s["end"]) for s in spans if not s["base"]] == want

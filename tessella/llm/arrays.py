@@ -30,6 +30,13 @@ def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     return x
 
 
+def small(batches, rows: int = 2000):
+    """Slices of Arrow batches, so that what is made of one stays small whatever the session's batch size; Spark bounds a batch's bytes."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 offsets of a string array; null counts as empty."""
     if texts.null_count:

@@ -95,11 +95,6 @@ def tasks(spark: SparkSession, n_units: int) -> int:
     return max(partitions(spark), min(n_units, MOST_TASKS))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what one Arrow batch holds; texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def join_counted(rows: DataFrame, mapping: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """rows left-joined with mapping (unique key, `count` = rows it meets) when a key may hold a third of the rows.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Words, blocks, column, segment_hash, strings, take_segments, text_buffer, window_hash
+from .arrays import Words, blocks, column, segment_hash, small, strings, take_segments, text_buffer, window_hash
 
 FEW = 4
 #: Phrases of notices and navigation; matched in lower case.
@@ -145,7 +145,7 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: the base counts, the verdict, what the failing lines held, and the text without them."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for i, c, (data, at) in judge(column(batch, "text")):
                 n = len(at) - 1
                 yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id").slice(i, n)} | {k: pa.array(v, pa.bool_() if v.dtype == bool else pa.int64()) for k, v in c.items()} | {"clean_text": strings(data, at)})

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster
-from .arrays import column
+from .arrays import column, small
 from .tokens import encoder, vocabulary, with_end
 
 DIMS, BITS, BUCKETS = 3, 10, 4096
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, length: int = 2048, vocab: str | None = None, end_id:
         enc = encoder(vocab)
         kind = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         item = int(kind[-1])
-        for batch in batches:
+        for batch in small(batches):
             for i, ids, at in enc.encode(column(batch, "text")):
                 x = project(ids, at)
                 ids, at = with_end(ids, at, end_id)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Words, blocks, column, text_buffer
+from .arrays import Words, blocks, column, small, text_buffer
 from .spans import SPANS, Points, outside
 
 KINDS = ("email", "ip", "card", "phone")
@@ -476,7 +476,7 @@ def find_pii(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
     field = default_field() if labelled is None else Field.train([(r["words"], r["tags"]) for r in labelled.orderBy(F.xxhash64("words", "tags"), "words", "tags").limit(most_lines).collect()])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "spans": pa.array(find(column(batch, "text"), field), _ARROW)})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, spans {SPANS}")
@@ -492,7 +492,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(t)
             new = pa.array([_masked(x, s) if s else x for x, s in zip(texts.to_pylist(), find(texts, field), strict=True)], texts.type)
             yield pa.RecordBatch.from_arrays([new if k == t else batch.column(k) for k in range(len(names))], names=batch.schema.names)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .arrays import Words, blocks, column, segment_hash, text_buffer
+from .arrays import Words, blocks, column, segment_hash, small, text_buffer
 
 #: Labelled rows that training reads at most; those with the least hash of their id.
 MOST_ROWS = 10_000
@@ -208,7 +208,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") ->
     types = dict(docs.dtypes)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             x = statistics(column(batch, "__text"))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep))] + [pa.array(x[:, k]) for k in range(len(STATS))], names=[*keep, *STATS])
 
@@ -242,7 +242,7 @@ def keep_good(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> D
     t = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             x = statistics(batch.column(0).field(t))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(len(STATS))]], names=["__row", *STATS])
 

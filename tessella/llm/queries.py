@@ -11,7 +11,6 @@ from . import cluster, exact_dedup, line_rules, packing, pii, quality, secret_sc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cluster.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

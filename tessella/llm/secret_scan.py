@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import blocks, column, text_buffer
+from .arrays import blocks, column, small, text_buffer
 from .spans import SPANS, Points, outside
 
 KINDS = ("assign", "access", "hex", "random")
@@ -169,7 +169,7 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str
     model = default_model() if samples is None else train([(r["text"], r["label"]) for r in samples.orderBy(F.xxhash64("text", "label"), "text", "label").limit(most_samples).collect()])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "spans": pa.array(find(column(batch, "text"), model), _ARROW)})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, spans {SPANS}")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import blocks, column, ragged, strings, text_buffer
+from .arrays import blocks, column, ragged, small, strings, text_buffer
 from .tokens import vocabulary
 
 MARK = "▁"
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = column(batch, "text")
             buf, off = text_buffer(texts)
             for i, ids, at in c.encode(texts):
@@ -293,7 +293,7 @@ def decode(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id",
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in small(batches):
             lists = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in column(batch, "ids").to_pylist()]
             at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "text": c.text(*c.decode(np.concatenate([np.zeros(0, np.int64), *lists]), at))})

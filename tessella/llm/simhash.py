@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster
-from .arrays import Words, blocks, column, ragged, take_segments, text_buffer
+from .arrays import Words, blocks, column, ragged, small, take_segments, text_buffer
 from .components import components, first_of, named
 
 N = 23
@@ -212,7 +212,7 @@ def _labelled(rows: DataFrame, words: int, distance: int) -> DataFrame:
     """rows: row, doc_id, text. Returns row, doc_id, fp, best (the first row of its component)."""
 
     def prints(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_pydict({c: column(batch, c) for c in ("row", "doc_id")} | {"fp": pa.array(fingerprints(column(batch, "text"), words).view(np.int64))})
 
     with cluster.Scratch(rows.sparkSession) as scratch:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster
-from .arrays import U64, Words, blocks, column, strings, take_segments, text_buffer, window_hash
+from .arrays import U64, Words, blocks, column, small, strings, take_segments, text_buffer, window_hash
 
 #: Bytes of text per unit, and of all units' text per owner, at least: both sides of the exchange hold that much at a time.
 UNIT_BYTES = 8 << 20
@@ -173,7 +173,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         return pa.concat_tables(out)
 
     def whole(batches):
-        for batch in batches:
+        for batch in small(batches):
             for b in _windows(batch, window):
                 yield from _cut(batch, b, np.zeros(len(b.at), bool), window).combine_chunks().to_batches()
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cluster
-from .arrays import column
+from .arrays import column, small
 from .tokens import encoder, vocabulary, with_end
 
 #: Bytes of text per part. Beyond cluster.MOST_TASKS parts they get longer instead; a task streams through its part, a segment at a time.
@@ -109,7 +109,7 @@ def write_token_file(docs: DataFrame, path: str, vocab: str | None = None, end_i
 
     def encoded(batches):
         enc = encoder(vocab)
-        for batch in batches:
+        for batch in small(batches):
             for i, ids, at in enc.encode(column(batch, "text")):
                 ids, at = with_end(ids, at, end_id)
                 n = len(at) - 1

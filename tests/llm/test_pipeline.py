@@ -2,11 +2,12 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tessella.llm import packing, pii, quality
 
-from .test_simhash import brute_components, brute_print
+from .test_near_dup import brute as brute_near
 from .test_tokens import check_pieces, ids_of
 
 SF = "/root/testdata/sf0.001"
@@ -18,14 +19,19 @@ def brute(spark, rows, sf_dir):
     good = model.scores(quality.statistics(pa.array([r["text"] for r in rows], pa.string()))) >= quality.THRESHOLD
     rows = [r for r, g in zip(rows, good, strict=True) if g]
     out.append(rows)
-    last = {}
-    for r in rows:
-        last[r["text"] or ""] = max(last.get(r["text"] or "", -1), r["doc_id"])
-    rows = [r for r in rows if last[r["text"] or ""] == r["doc_id"]]
+    best = {}  # of equal texts the largest id stays, of rows equal in both any one
+    for k, r in enumerate(rows):
+        t = r["text"] or ""
+        if t not in best or (r["doc_id"] is not None and (rows[best[t]]["doc_id"] is None or r["doc_id"] > rows[best[t]]["doc_id"])):
+            best[t] = k
+    rows = [rows[k] for k in sorted(best.values())]
     out.append(rows)
-    ids = [r["doc_id"] for r in rows]
-    comp = brute_components(ids, [brute_print(r["text"]) for r in rows])
-    rows = [r for r, c in zip(rows, comp, strict=True) if c == r["doc_id"]]
+    named, _ = brute_near([r["text"] for r in rows], list(range(len(rows))))  # components by place
+    least = {}
+    for k, c in sorted(named):
+        if c not in least or (rows[k]["doc_id"] is not None and (rows[least[c]]["doc_id"] is None or rows[k]["doc_id"] < rows[least[c]]["doc_id"])):
+            least[c] = k
+    rows = [rows[k] for k in sorted(least.values())]
     out.append(rows)
     spans = pii.find(pa.array([r["text"] for r in rows], pa.string()), pii.default_field())
     rows = [r | {"text": t, "n_chars": r["n_chars"] if t is None else len(t)} for r, s in zip(rows, spans, strict=True) for t in [pii._masked(r["text"], s)]]
@@ -34,7 +40,7 @@ def brute(spark, rows, sf_dir):
 
 
 def as_set(rows):
-    return sorted(tuple(sorted(r.items())) for r in rows)
+    return sorted((tuple(sorted(r.items())) for r in rows), key=repr)
 
 
 @pytest.mark.parametrize("edges", [False, True])
@@ -43,7 +49,9 @@ def test_stages(spark, edges):
     if edges:
         text = docs.filter("doc_id = 9").first()["text"]
         more = [(1001, text, None, "s", 1), (1002, text, "en", None, None), (1003, text + " é a@b.org x", "en", "s", 3), (1004, "w " * 30_000, "en", "s", 4), (1005, "", None, None, 0), (1006, " \n", "en", "s", 2)]
-        docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+        more += [(11, text + " and some more words that make it another text", "en", "s", 5), (1001, "one id, another text of its own", "en", "s", 6), (None, text, "en", "s", 7), (None, "no id " * 60, "en", "s", 8)]
+        docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({c: F.lit(3) for c in ("_gone", "_row", "row", "fp", "node", "best", "unit", "__row", "n_words")})
+        docs = docs.unionByName(docs.filter("doc_id in (1001, 1005, 12)"))
     want = brute(spark, [r.asDict() for r in docs.collect()], SF)
     now = docs
     for (name, stage), rows in zip(cp.STAGES[:-1], want[1:], strict=True):
@@ -52,10 +60,18 @@ def test_stages(spark, edges):
         assert as_set(r.asDict() for r in now.collect()) == as_set(rows), name
         now = spark.createDataFrame(now.collect(), docs.schema)
     assert 0 < len(want[4]) < len(want[0])
-    check_pieces(packing.pack(now).collect(), {r["doc_id"]: ids_of(r["text"]) for r in want[4]}, 2048)
+    once = now.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    check_pieces(packing.pack(once).collect(), {r.doc_id: ids_of(r.text) for r in once.collect()}, 2048)
     assert cp.STAGES[-1][1](spark, now, SF).filter("length < 1").count() == 0
 
 
+def test_a_table_of_two_columns(spark):
+    docs = spark.createDataFrame([(1, "mail me at a@b.org " + "word " * 60), (2, None)], "doc_id long, text string")
+    for _, stage in cp.STAGES[1:4]:
+        docs = stage(spark, docs, SF)
+    assert [(r.doc_id, (r.text or "")[:18]) for r in docs.orderBy("doc_id").collect()] == [(1, "mail me at <email>"), (2, "")]
+
+
 def test_run(spark):
     got = cp.run(spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0

@@ -1,4 +1,4 @@
-"""What the operators share on the cluster: scratch tables, sizes of work units, joins that survive hot keys."""
+"""What the operators share on the cluster: scratch tables, numbers of rows, sizes of work units."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than 1 / HOT_SHARE of the rows is joined by broadcast; so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 2000
 #: Tasks of one shuffle, at most. What runs in a task holds one unit at a time, so this bounds parallelism, not what is done.
 MOST_TASKS = 20_000
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,18 +36,24 @@ def _write(df: DataFrame, path: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables that only one computation needs: all are deleted when the block ends. What it returns must be materialized before."""
+    """Tables that only one computation needs: all are deleted when the block ends. What it returns must be materialized before.
+
+    Within the block Arrow batches hold BATCH_ROWS rows at most; the session's own setting returns at its end.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path = spark, f"{scratch_dir(spark)}/work-{uuid.uuid4().hex}"
 
     def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(BATCH_ROWS))
         return self
 
     def table(self, df: DataFrame) -> DataFrame:
         return _write(df, f"{self.path}/{uuid.uuid4().hex}")
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(_BATCH, self.before)
         delete(self.spark, self.path)
 
 
@@ -93,19 +99,3 @@ def units(spark: SparkSession, amount: float, each: float) -> int:
 def tasks(spark: SparkSession, n_units: int) -> int:
     """Tasks of a shuffle by unit: one a unit up to MOST_TASKS, then several units a task, one after the other."""
     return max(partitions(spark), min(n_units, MOST_TASKS))
-
-
-def join_counted(rows: DataFrame, mapping: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """rows left-joined with mapping (unique key, `count` = rows it meets) when a key may hold a third of the rows.
-
-    Keys over total / HOT_SHARE rows (fewer than HOT_SHARE by arithmetic) are broadcast, all others shuffled.
-    """
-    most = max(50, total // HOT_SHARE)
-    values = [c for c in mapping.columns if c not in (key, count)]
-    hot = mapping.filter(F.col(count) > most).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_h_{c}") for c in values], F.lit(True).alias("_hot"))
-    cold = mapping.filter(F.col(count) <= most).select(F.col(key).alias("_k"), *values)
-    met = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
-    first = met.filter("_hot").select(*rows.columns, *[F.col(f"_h_{c}").alias(c) for c in values])
-    rest = met.filter("_hot is null").select(*rows.columns)
-    second = rest.join(cold, F.col(key) == F.col("_k"), "left").select(*rows.columns, *values)
-    return first.unionByName(second)

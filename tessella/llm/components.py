@@ -8,51 +8,44 @@ from pyspark.sql import functions as F
 from . import cluster
 
 
-def _lookup(rows: DataFrame, column: str, parents: DataFrame, total: int) -> DataFrame:
-    """rows with `column` replaced by its parent (itself where it has none); parents: node, parent, met."""
-    met = cluster.join_counted(rows, parents.select(F.col("node").alias(column), "parent", "met"), column, "met", total)
-    return met.withColumn(column, F.coalesce("parent", column)).drop("parent")
-
-
 def components(links: DataFrame, scratch: cluster.Scratch) -> DataFrame:
-    """links: a, b (long). Returns node, root: the least node of its component, for every node that has a link.
+    """links: a, b (long). Returns node, root for every node that is not itself the least of its component; a table of scratch.
 
-    Rounds grow with the logarithm of a component's diameter; each round's tables are deleted at the end, the result is one of scratch.
+    Rounds grow with the logarithm of a component's diameter; each round's tables are deleted at the end. A node that a third of the links
+    meet is a hot key of the joins' left sides alone, which Spark's adaptive execution splits; aggregates combine on the map side.
     """
     with cluster.Scratch(links.sparkSession) as rounds:
         return scratch.table(_components(links, rounds))
 
 
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _jump(parents: DataFrame) -> DataFrame:
+    up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+    return parents.select("node", "parent").join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved"))
+
+
 def _components(links: DataFrame, scratch: cluster.Scratch) -> DataFrame:
-    links = scratch.table(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = scratch.table(_ordered(links))
     found: DataFrame | None = None
-    while True:
-        n = links.count()
-        if not n:
-            break
-        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("parent"), F.count(F.lit(1)).alias("met"))
-        parents = scratch.table(hooks)
+    while links.count():
+        # a parent is less than its node, so jumping ends at roots
+        parents = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
         while True:
-            # each node's parent is no larger than the node, so jumping ends at roots
-            counts = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("met"))
-            grand = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand")).join(counts, "parent")
-            jumped = scratch.table(cluster.join_counted(parents, grand, "parent", "met", 2 * n).select("node", F.coalesce("grand", "parent").alias("next"), "parent", "met"))
-            moved = jumped.filter("next <> parent").limit(1).count()
-            parents = jumped.select("node", F.col("next").alias("parent"), "met")
-            if not moved:
+            parents = scratch.table(_jump(parents))
+            if not parents.filter("moved").limit(1).count():
                 break
-        if found is None:
-            found = parents.select("node", F.col("parent").alias("root"))
-        else:
-            sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("met"))
-            up = parents.select(F.col("node").alias("root"), F.col("parent").alias("up")).join(sizes, "root")
-            found = scratch.table(cluster.join_counted(found, up, "root", "met", found.count()).select("node", F.coalesce("up", "root").alias("root")))
-        step = _lookup(_lookup(links, "a", parents, n), "b", parents, n)
-        links = scratch.table(step.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if found is None:
-        found = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return found
+        roots = parents.select("node", F.col("parent").alias("root"))
+        if found is not None:  # what were roots now have roots themselves
+            up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            found = found.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(roots)
+        found = scratch.table(found) if found is not None else roots
+        for end in "ab":
+            links = links.join(roots.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        links = scratch.table(_ordered(links))
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
 
 
 def first_of(row: str = "row", id_col: str = "doc_id") -> list:
@@ -60,14 +53,8 @@ def first_of(row: str = "row", id_col: str = "doc_id") -> list:
     return [F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")]
 
 
-def named(each: DataFrame, distinct: DataFrame, roots: DataFrame, key: str, n: int) -> DataFrame:
-    """each (n rows with the column key) with `best`, the first row of its component; distinct: key, best (first_of), met; roots: node, root."""
-    # a root may stand for a third of the keys
-    roots = roots.select(F.col("node").alias("_node"), "root")
-    linked = distinct.join(roots, distinct[key] == roots["_node"]).select(key, "root", F.col("best").alias("own"), "met")
-    least = linked.groupBy("root").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("members"))
-    far = cluster.join_counted(linked, least, "root", "members", n).select(key, "best", "met")
-    alone = distinct.join(roots.select("_node"), distinct[key] == F.col("_node"), "left_anti").select(key, "best", "met")
-    with cluster.Scratch(each.sparkSession) as scratch:
-        mapping = scratch.table(far.unionByName(alone))
-        return cluster.materialize(cluster.join_counted(each, mapping, key, "met", n))
+def named(each: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """each (rows with the column key) with `best`, the first row of its component; distinct: key, best (first_of); roots: node, root."""
+    rooted = distinct.join(roots.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("root", key).alias("root"), F.col("best").alias("own"))
+    least = rooted.groupBy("root").agg(F.min("own").alias("best"))
+    return cluster.materialize(each.join(rooted.join(least, "root").select(key, "best"), key))

@@ -114,9 +114,9 @@ def _groups(rows: DataFrame) -> DataFrame:
         marked = scratch.table(dealt.cogroup(deal(replies, "unit", n_units)).applyInArrow(mark, "row long, doc_id long, sha binary, suspect boolean"))
         # byte verification: the text is the grouping key, aggregated before the shuffle; row numbers are unique, so the join has no hot key
         best = F.max(F.struct("doc_id", (-F.col("row")).alias("last")))
-        same = rows.join(marked.filter("suspect").select("row"), "row", "left_semi").groupBy("text").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        same = scratch.table(same.select(F.unhex(F.sha2("text", 256)).alias("sha"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.last")).alias("keep_row"), "group_size", F.col("group_size").alias("met")))
-        far = cluster.join_counted(marked.filter("suspect").drop("suspect"), same, "sha", "met", n)
+        same = rows.join(marked.filter("suspect").select("row").hint("merge"), "row", "left_semi").groupBy("text").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+        same = scratch.table(same.select(F.unhex(F.sha2("text", 256)).alias("sha"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.last")).alias("keep_row"), "group_size"))
+        far = marked.filter("suspect").drop("suspect").join(same, "sha").select("row", "doc_id", "sha", "keep_id", "keep_row", "group_size")  # a hot text is split by adaptive execution
         near = marked.filter("not suspect").select("row", "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
         return cluster.materialize(near.unionByName(far))
 

@@ -217,8 +217,8 @@ def _labelled(rows: DataFrame, words: int, distance: int) -> DataFrame:
 
     with cluster.Scratch(rows.sparkSession) as scratch:
         each = scratch.table(rows.mapInArrow(prints, "row long, doc_id long, fp long"))
-        distinct = scratch.table(each.groupBy("fp").agg(F.min(F.struct(*first_of())).alias("best"), F.count(F.lit(1)).alias("met")))
-        return named(each, distinct, components(links(distinct.select("fp").repartition("fp"), distance), scratch), "fp", each.count())
+        distinct = scratch.table(each.groupBy("fp").agg(F.min(F.struct(*first_of())).alias("best")))
+        return named(each, distinct, components(links(distinct.select("fp").repartition("fp"), distance), scratch), "fp")
 
 
 def _rows(docs: DataFrame, row, id_col: str, text_col: str) -> DataFrame:

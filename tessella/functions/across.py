@@ -17,8 +17,9 @@ def peers(g: Column) -> WindowSpec:
 def _rank(x: Column, keys: list) -> Column:
     """Average rank over the count, in (0, 1]."""
     p = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
-    return F.when(x.isNotNull(), (F.rank().over(p.orderBy(x.asc_nulls_last())) + (ties - 1) / F.lit(2.0)) / F.count(x).over(p))
+    order = p.orderBy(x.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # the rows of equal value: the same sort, no shuffle by value
+    return F.when(x.isNotNull(), (F.rank().over(order) + (ties - 1) / F.lit(2.0)) / F.count(x).over(p))
 
 
 def rank(x: Column) -> Column:
@@ -97,6 +98,6 @@ def group_scale(x: Column, g: Column, long: float = 1.0, short: float = -1.0) ->
 
 
 def group_scale_positive(x: Column, g: Column) -> Column:
-    """Share of the group's sum; a negative value anywhere is an error."""
+    """Share of the group's sum; a negative value anywhere, with a label or without, is an error."""
     share = x / F.nullif(F.sum(x).over(peers(g)), F.lit(0.0))
-    return F.when(g.isNotNull(), F.when(x < 0, F.raise_error(F.lit("group_scale_positive: negative value"))).otherwise(share))
+    return F.when(x < 0, F.raise_error(F.lit("group_scale_positive: negative value"))).when(g.isNotNull(), share)

@@ -18,27 +18,37 @@ def least(window: int, ratio: float) -> int:
     return max(1, int(window * ratio))
 
 
+def finite(x: Column) -> Column:
+    """A window looks at finite values alone: an infinite one counts as missing."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
 def observed(e: Column, x: Column, window: int, ratio: float) -> Column:
     return F.when(F.count(x).over(rows(window)) >= least(window, ratio), e)
 
 
 def ts_mean(x: Column, window: int, ratio: float = 0.5) -> Column:
+    x = finite(x)
     return observed(F.avg(x).over(rows(window)), x, window, ratio)
 
 
 def ts_std_dev(x: Column, window: int, ratio: float = 0.7) -> Column:
+    x = finite(x)
     return observed(F.stddev_samp(x).over(rows(window)), x, window, ratio)
 
 
 def ts_max(x: Column, window: int, ratio: float = 0.3) -> Column:
+    x = finite(x)
     return observed(F.max(x).over(rows(window)), x, window, ratio)
 
 
 def ts_min(x: Column, window: int, ratio: float = 0.3) -> Column:
+    x = finite(x)
     return observed(F.min(x).over(rows(window)), x, window, ratio)
 
 
 def ts_sum(x: Column, window: int, ratio: float = 0.3) -> Column:
+    x = finite(x)
     return observed(F.sum(x).over(rows(window)), x, window, ratio)
 
 
@@ -67,6 +77,7 @@ def ts_all(b: Column, window: int, ratio: float = 0.5) -> Column:
 
 def ts_product(x: Column, window: int, ratio: float = 0.6) -> Column:
     """Unlike sums, a product is missing if any value in its window is."""
+    x = finite(x)
     w = rows(window)
     n = F.count(x).over(w)
     return F.when((n >= least(window, ratio)) & (n == F.count(F.lit(1)).over(w)), F.product(x).over(w))
@@ -74,16 +85,19 @@ def ts_product(x: Column, window: int, ratio: float = 0.6) -> Column:
 
 def ts_arg_max(x: Column, window: int, ratio: float = 0.5) -> Column:
     """Rows since the maximum, 0 for today; of equal ones the oldest."""
+    x = finite(x)
     at = F.max(F.when(x.isNotNull(), F.struct(x.alias("v"), (-F.col("t")).alias("at")))).over(rows(window))["at"]
     return observed((F.col("t") + at).cast("double"), x, window, ratio)
 
 
 def ts_arg_min(x: Column, window: int, ratio: float = 0.5) -> Column:
+    x = finite(x)
     at = F.min(F.when(x.isNotNull(), F.struct(x.alias("v"), F.col("t").alias("at")))).over(rows(window))["at"]
     return observed((F.col("t") - at).cast("double"), x, window, ratio)
 
 
 def _paired(x: Column, y: Column) -> tuple[Column, Column]:
+    x, y = finite(x), finite(y)
     return F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
 
 
@@ -101,12 +115,13 @@ def ts_covariance(x: Column, y: Column, window: int, ratio: float = 0.7) -> Colu
 
 
 def ts_zscore(x: Column, window: int, ratio: float = 0.5) -> Column:
-    w = rows(window)
-    return observed((x - F.avg(x).over(w)) / F.nullif(F.stddev_samp(x).over(w), F.lit(0.0)), x, window, ratio)
+    w, seen = rows(window), finite(x)
+    return observed((x - F.avg(seen).over(w)) / F.nullif(F.stddev_samp(seen).over(w), F.lit(0.0)), seen, window, ratio)
 
 
 def ts_rank(x: Column, window: int, ratio: float = 0.5) -> Column:
     """Share of the window's other values below today's; 0.5 if there is no other."""
+    x = finite(x)
     a = F.collect_list(x).over(rows(window))
     below = F.size(F.filter(a, lambda z: z < x))
     return observed(F.when(x.isNotNull(), F.when(F.size(a) <= 1, F.lit(0.5)).otherwise(below / F.nullif(F.size(a) - 1, F.lit(0)))), x, window, ratio)

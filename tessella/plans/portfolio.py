@@ -10,20 +10,16 @@ from ..functions.across import day
 YEAR = 252
 
 
-def _legs(d: Column, long: float, short: float) -> Column:
-    up, down = F.greatest(d, F.lit(0.0)), F.least(d, F.lit(0.0))
-    return F.coalesce(up / F.nullif(F.sum(up).over(day()), F.lit(0.0)) * long, F.lit(0.0)) + F.coalesce(down / F.nullif(-F.sum(down).over(day()), F.lit(0.0)) * short, F.lit(0.0))
+def _legs(x: Column, gross: float, net: float) -> Column:
+    """Positives scaled to half of gross + net, negatives to half of gross - net, by date; a missing cell is 0."""
+    up, down = F.when(x > 0, x).otherwise(0.0), F.when(x < 0, x).otherwise(0.0)
+    share = lambda side, total: F.coalesce(side / F.nullif(total, F.lit(0.0)), F.lit(0.0))
+    return share(up, F.sum(up).over(day())) * ((gross + net) / 2) + share(down, -F.sum(down).over(day())) * ((gross - net) / 2)
 
 
 def gross_net(x: Column, gross: float = 1.0, net: float = 0.0) -> Column:
     """Demeaned by date, then each side scaled to its target; missing cells weigh 0."""
-    d = x - F.avg(x).over(day())
-    held = F.when(d.isNotNull(), d)
-    up, down = F.when(held > 0, held).otherwise(F.when(held.isNotNull(), 0.0)), F.when(held < 0, held).otherwise(F.when(held.isNotNull(), 0.0))
-    long, short = (gross + net) / 2, (gross - net) / 2
-    a = F.coalesce(up / F.nullif(F.sum(up).over(day()), F.lit(0.0)), F.lit(0.0)) * long
-    b = F.coalesce(down / F.nullif(-F.sum(down).over(day()), F.lit(0.0)), F.lit(0.0)) * short
-    return F.when(held.isNotNull(), a + b).otherwise(0.0)
+    return _legs(x - F.avg(x).over(day()), gross, net)
 
 
 def dollar_neutral(x: Column) -> Column:
@@ -38,7 +34,7 @@ def long_only(x: Column, target_gross: float = 1.0) -> Column:
 
 def gross_net_renormalised(x: Column, target_gross: float = 2.0, target_net: float = 0.0) -> Column:
     """No demeaning; each side is scaled, then the date to the gross target, so one-sided dates reach it too. Missing stays missing."""
-    w = F.when(x.isNotNull(), _legs(F.when(x.isNotNull(), x), (target_gross + target_net) / 2, (target_gross - target_net) / 2))
+    w = F.when(x.isNotNull(), _legs(x, target_gross, target_net))
     return w / F.nullif(F.sum(F.abs(w)).over(day()), F.lit(0.0)) * target_gross
 
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import cells
+
 _DATES = (re.compile(r"\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?"), re.compile(r"\d{8}"), re.compile(r"\d{4}/\d{2}/\d{2}"))
 
 
@@ -40,14 +42,15 @@ def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def typed_columns(df: DataFrame, integers=(), doubles=(), millions=(), thousands=(), flags: dict[str, str] | None = None, required=()) -> DataFrame:
-    """Numbers from text (what is none is missing); millions and thousands are scaled; a flag is true where the text is not the normal one, or missing; rows without the required columns go."""
+    """Numbers from text (what is none is missing); integers and millions are exact and rounded, thousands are doubles; a flag is true where the text is not the normal one, or missing; rows without the required columns go."""
     out = {}
+    exact = lambda c: F.col(c).try_cast("decimal(30,8)")
     for c in integers:
-        out[c] = F.col(c).try_cast("double").cast("bigint")
+        out[c] = F.round(exact(c)).try_cast("bigint")
     for c in doubles:
         out[c] = F.col(c).try_cast("double")
     for c in millions:
-        out[c] = (F.col(c).try_cast("double") * 1e6).cast("bigint")
+        out[c] = F.round(exact(c) * F.lit(1_000_000)).try_cast("bigint")
     for c in thousands:
         out[c] = F.col(c).try_cast("double") * 1e3
     for c, normal in (flags or {}).items():
@@ -73,10 +76,10 @@ def write_partitioned(df: DataFrame, path: str, date: str = "date", day: bool =
 
 
 def calculate_returns(prices: DataFrame, price: str = "adj_close") -> DataFrame:
-    """date, symbol, return: change on the symbol's row before, over rows with a price; first rows go."""
+    """date, symbol, return: change on the symbol's row before, over rows with a price, infinite after a price of 0; first rows go."""
     w = Window.partitionBy("symbol").orderBy("date")
     p = F.col(price).cast("double")
-    rows = prices.filter(p.isNotNull()).withColumn("return", p / F.nullif(F.lag(p).over(w), F.lit(0.0)) - 1)
+    rows = prices.filter(p.isNotNull()).withColumn("return", cells.divide(p, F.lag(p).over(w)) - 1)
     return rows.filter(F.col("return").isNotNull()).select("date", "symbol", "return")
 
 

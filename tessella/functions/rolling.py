@@ -127,11 +127,15 @@ def ts_rank(x: Column, window: int, ratio: float = 0.5) -> Column:
     return observed(F.when(x.isNotNull(), F.when(F.size(a) <= 1, F.lit(0.5)).otherwise(below / F.nullif(F.size(a) - 1, F.lit(0)))), x, window, ratio)
 
 
-def forward_fill(x: Column) -> Column:
+def _upto(order: str):
+    return Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def forward_fill(x: Column, order: str = "t") -> Column:
     """The last value that is there."""
-    return F.last(x, ignorenulls=True).over(time().rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(x, ignorenulls=True).over(_upto(order))
 
 
-def forward_fill_rows(x: Column, reported: Column) -> Column:
+def forward_fill_rows(x: Column, reported: Column, order: str = "t") -> Column:
     """The value of the last reported row, missing if that row's is."""
-    return F.last(F.when(reported, F.struct(x.alias("v"))), ignorenulls=True).over(time().rowsBetween(Window.unboundedPreceding, 0))["v"]
+    return F.last(F.when(reported, F.struct(x.alias("v"))), ignorenulls=True).over(_upto(order))["v"]

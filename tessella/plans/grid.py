@@ -1,4 +1,4 @@
-"""The universe grid: every date with every symbol, a dense date ordinal, and who is in the universe."""
+"""The universe grid: every date with every symbol, and a dense date ordinal."""
 
 from __future__ import annotations
 
@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 MOST_DATES = 200_000
 
 
-def build_grid(cells: DataFrame) -> DataFrame:
-    """cells: date, symbol, in_universe. Returns date, symbol, t, in_universe over all dates and symbols; cells that are not there are outside."""
+def calendar(cells: DataFrame) -> list[str]:
+    """The dates of cells (column date), in order, as ISO text."""
     dates = [r["d"] for r in cells.select(F.col("date").cast("string").alias("d")).distinct().filter("d is not null").orderBy("d").limit(MOST_DATES + 1).collect()]
     if len(dates) > MOST_DATES:
         raise ValueError(f"over {MOST_DATES} dates")
-    symbols = cells.select("symbol").distinct().filter("symbol is not null")
-    if not dates:
-        return cells.select("date", "symbol", F.lit(0).cast("long").alias("t"), "in_universe").limit(0)
-    # the calendar is one constant array, so the grid is an explode, not a join
-    grid = symbols.select("symbol", F.posexplode(F.split(F.lit(",".join(dates)), ",")).alias("t", "date")).select(F.col("date").cast("date").alias("date"), "symbol", (F.col("t") + 1).cast("long").alias("t"))
-    known = cells.groupBy("date", "symbol").agg(F.max("in_universe").alias("in_universe"))
-    return grid.join(known, ["date", "symbol"], "left").withColumn("in_universe", F.coalesce("in_universe", F.lit(False)))
+    return dates
+
+
+def grid(symbols: DataFrame, dates: list[str]) -> DataFrame:
+    """date, symbol, t for every symbol and date. The calendar is one constant array, so this is an explode, not a join."""
+    numbered = F.posexplode(F.split(F.lit(",".join(dates)), ",")).alias("t", "date")
+    out = symbols.select("symbol", numbered) if dates else symbols.select("symbol", F.lit(0).alias("t"), F.lit(None).cast("string").alias("date")).limit(0)
+    return out.select(F.col("date").cast("date").alias("date"), "symbol", (F.col("t") + 1).cast("long").alias("t"))

@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import across
+from ..functions import across, cells
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -37,13 +37,13 @@ class Panel:
     def on_grid(self) -> Column:
         """The column in the session's frame; one value a date is the aggregate over that date."""
         if self.name is None:
-            self.name = self.session.column(self._aggregate.over(across.day()), masked=False)
+            self.name = self.session.column(cells.clean(self._aggregate.over(across.day())), masked=False)
         return F.col(self.name)
 
     def to_df(self) -> DataFrame:
         """date, symbol, value over the grid; date, value of one value a date."""
         if self._aggregate is not None:
-            return self.session.frame().groupBy("date").agg(self._aggregate.alias("value"))
+            return self.session.frame().groupBy("date").agg(cells.clean(self._aggregate).alias("value"))
         return self.session.frame().select("date", "symbol", F.col(self.name).alias("value"))
 
     def to_wide(self) -> pd.DataFrame:

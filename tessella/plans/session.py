@@ -1,7 +1,9 @@
 """A session: source, universe, operators, scaler and back-test over one frame.
 
-Fields and results are columns of one long frame (date, symbol, t, in_universe, ...). An operator only adds a column, so a chain
-of them is one plan: windows with the same partitioning share their exchange and sort, and what a result does not use is pruned.
+Fields and results are columns of one long frame (date, symbol, t, in_universe, ...). The frame is made when it is asked for: the rows of
+the grid and of all fields, those of one source read once, are laid under each other, dealt by symbol in one exchange, and made cells there;
+forward fill and the time axis need no other. An operator only adds a column, so a chain of them is one plan: windows with the same
+partitioning share their exchange and sort, and what a result does not use is pruned.
 Sessions do not change what panels mean: `with_universe` gives a new one.
 """
 
@@ -13,16 +15,14 @@ from datetime import date as Date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rolling
+from ..functions import cells, rolling
 from ..operators.registry import NUMERIC, REGISTRY, Operator
 from ..sources.catalog import Catalog
-from ..sources.fields import load_cells
+from ..sources.fields import load_rows, source_of
 from . import portfolio
-from .grid import build_grid
+from .grid import calendar, grid
 from .panel import Panel, Step
 
-RESERVED = ("date", "symbol", "t", "in_universe")
-
 
 class _Ops:
     """Registered operators as methods; those whose names are keywords by getattr."""
@@ -43,14 +43,22 @@ class _Ops:
 
 
 class Session:
-    def __init__(self, catalog: Catalog, universe: str | DataFrame, start: Date | str | None = None, end: Date | str | None = None, returns: str = "returns", buffer_days: int = 0):
-        """universe: a field whose observed cells are the universe, or a frame date, symbol, in_universe. No end is an open one."""
+    def __init__(self, catalog: Catalog, universe: str | DataFrame, start: Date | str | None = None, end: Date | str | None = None, returns: str = "returns", buffer_days: int = 0, member: Column | None = None):
+        """universe: a field whose observed cells are the universe (those for which member, over date, symbol and value, is true), or a frame
+        date, symbol, in_universe. No end is an open one."""
         self.catalog, self.start, self.end, self.returns_field, self.buffer_days = catalog, start, end, returns, buffer_days
+        self._member, self._sources = member, []  # fields that the frame reads, the universe's first
         if isinstance(universe, str):
-            cells = load_cells(catalog, universe, start, end).select("date", "symbol", F.col("value").isNotNull().alias("in_universe"))
+            self._sources.append(universe)
+            self._cells, known = None, load_rows(catalog, [universe], start, end)
         else:
-            cells = universe.select("date", "symbol", F.coalesce(F.col("in_universe").cast("boolean"), F.lit(True)).alias("in_universe"))
-        self._frame = build_grid(cells)
+            self._cells = known = universe.select("date", "symbol", F.coalesce(F.col("in_universe").cast("boolean"), F.lit(True)).alias("in_universe")).filter("date is not null and symbol is not null")
+        self._dates = calendar(known)
+        self._symbols = known.select("symbol").distinct()
+        self._steps: list[tuple[str, Column]] = []  # columns added so far, in order
+        self._fixed: tuple[DataFrame, int] | None = None
+        self._fixed_sources: list[str] = []
+        self._built: tuple[int, int, DataFrame] | None = None
         self._names = 0
         self._fields: dict[str, Panel] = {}
         self._scaler: Callable[[Column], Column] | None = None
@@ -58,8 +66,62 @@ class Session:
 
     # ---- columns ----
 
+    def _read(self, names: list[str], member: bool) -> DataFrame:
+        """date, symbol, t (and in_universe) of the grid, with the fields as columns _f_<name>."""
+        groups: dict[tuple, list[str]] = {}
+        for n in names:
+            groups.setdefault(source_of(self.catalog.field(n)), []).append(n)
+        parts, first = [grid(self._symbols, self._dates)], [F.max("t").alias("t")]
+        for i, group in enumerate(groups.values()):
+            columns = [f"_f_{n}" for n in group]
+            rows = load_rows(self.catalog, group, self.start, self.end, self.buffer_days).withColumnsRenamed({n: f"_f_{n}" for n in group})
+            parts.append(rows.withColumn(f"_row{i}", F.lit(True)))
+            twice = F.count(f"_row{i}") > 1
+            first += [F.when(twice, F.raise_error(F.lit(f"field {', '.join(group)}: two rows of one date and symbol"))).otherwise(F.first(c, ignorenulls=True)).alias(c) for c in columns]
+            first.append(F.max(f"_row{i}").alias(f"_row{i}"))
+        if member and self._cells is not None:
+            parts.append(self._cells)
+            first.append(F.max("in_universe").alias("in_universe"))
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p, allowMissingColumns=True)
+        # dealt by symbol alone: what follows on the time axis is in place
+        df = every.repartition("symbol").groupBy("symbol", "date").agg(*first)
+        if member and self._cells is None:
+            value = F.col(f"_f_{self._sources[0]}")
+            inside = value.isNotNull()
+            if self._member is not None:
+                df = df.withColumn("value", value)
+                inside = inside & self._member
+            df = df.withColumn("in_universe", inside).drop("value")
+        if member:
+            df = df.withColumn("in_universe", F.coalesce("in_universe", F.lit(False)))
+        filled = {}
+        for i, group in enumerate(groups.values()):
+            for n in group:
+                fill = self.catalog.field(n).forward_fill
+                if fill:
+                    filled[f"_f_{n}"] = (rolling.forward_fill(F.col(f"_f_{n}"), "date") if fill == "value" else rolling.forward_fill_rows(F.col(f"_f_{n}"), F.col(f"_row{i}"), "date"))
+        df = df.withColumns(filled) if filled else df
+        kept = ["date", "symbol", "t", *(["in_universe"] if member else []), *[f"_f_{n}" for n in names]]
+        return df.filter("t is not null").select(*kept)
+
     def frame(self) -> DataFrame:
-        return self._frame
+        """The frame with all fields and columns so far."""
+        if self._built is None or self._built[0] != len(self._sources):
+            late = [n for n in self._sources if n not in self._fixed_sources]
+            if self._fixed is None:
+                df, done = self._read(self._sources, True), 0
+            else:
+                df, done = self._fixed[0], self._fixed[1]
+                if late:
+                    df = df.join(self._read(late, False).drop("t"), ["date", "symbol"], "left")
+            self._built = (len(self._sources), done, df)
+        n, done, df = self._built
+        for name, e in self._steps[done:]:
+            df = df.withColumn(name, e)
+        self._built = (n, len(self._steps), df)
+        return df
 
     def _name(self) -> str:
         self._names += 1
@@ -67,12 +129,21 @@ class Session:
 
     def column(self, e: Column, masked: bool = True) -> str:
         name = self._name()
-        self._frame = self._frame.withColumn(name, F.when(F.col("in_universe"), e) if masked else e)
+        self._steps.append((name, F.when(F.col("in_universe"), e) if masked else e))
         return name
 
     def persist(self) -> Session:
-        """Keeps the frame as it is, so that results share what they have in common."""
-        self._frame = self._frame.persist()
+        """Keeps the frame as it is, so that results share what they have in common, until `release`."""
+        df = self.frame().persist()
+        self._fixed, self._fixed_sources = (df, len(self._steps)), list(self._sources)
+        self._built = (len(self._sources), len(self._steps), df)
+        return self
+
+    def release(self) -> Session:
+        """Frees what `persist` keeps; results are the same, computed anew."""
+        if self._fixed is not None:
+            self._fixed[0].unpersist()
+            self._fixed, self._fixed_sources, self._built = None, [], None
         return self
 
     # ---- inputs ----
@@ -81,21 +152,18 @@ class Session:
         """A field on the grid, outside of the universe missing; loaded once a session."""
         if name not in self._fields:
             spec = self.catalog.field(name)
-            cells = load_cells(self.catalog, name, self.start, self.end, self.buffer_days)
-            if spec.forward_fill:
-                known = cells.select("date", "symbol", F.col("value").alias("_v"), F.lit(True).alias("_row"))
-                both = self._frame.select("date", "symbol", F.lit(True).alias("_grid")).join(known, ["date", "symbol"], "full").withColumn("t", F.datediff("date", F.lit("1970-01-01").cast("date")))
-                filled = rolling.forward_fill(F.col("_v")) if spec.forward_fill == "value" else rolling.forward_fill_rows(F.col("_v"), F.col("_row"))
-                cells = both.withColumn("value", filled).filter("_grid").select("date", "symbol", "value")
-            column = self._name()
-            self._frame = self._frame.join(cells.select("date", "symbol", F.col("value").alias("_v")), ["date", "symbol"], "left").withColumn(column, F.when(F.col("in_universe"), F.col("_v"))).drop("_v")
-            self._fields[name] = Panel(self, column, spec.tag, 0, f"Field({name})", {"field": name})
+            tag = spec.tag
+            if name not in self._sources:
+                self._sources.append(name)
+            self._fields[name] = Panel(self, self.column(F.col(f"_f_{name}")), tag, 0, f"Field({name})", {"field": name})
         return self._fields[name]
 
     __call__ = field
 
     def clear_cache(self) -> None:
+        """Forgets the fields and frees what is kept. Columns that no result uses cost nothing."""
         self._fields.clear()
+        self.release()
 
     def list_cached_fields(self) -> list[str]:
         return sorted(self._fields)
@@ -124,14 +192,15 @@ class Session:
             result = next((p.tag for p in panels[1:] if "const" not in p.spec), "numeric")
         elif op.name in ("assign", "map_values"):
             result = tags[0] if op.name == "assign" else ("numeric" if params.get("mapping") and all(isinstance(v, (int, float)) for v in params["mapping"].values()) else tags[0])
-        spec = {"op": op.name, "args": [p.spec for p in panels], "params": params}
+        said = {k: [list(kv) for kv in v.items()] if isinstance(v, dict) else v for k, v in params.items()}  # JSON has text keys alone
+        spec = {"op": op.name, "args": [p.spec for p in panels], "params": said}
         text = f"{op.name}({', '.join([p.expr for p in panels] + [f'{k}={v!r}' for k, v in params.items()])})"
         step = max((p.step for p in panels), default=-1) + 1
         cache = [c for p in panels for c in p.cache] + [Step(p.step, p.expr, p) for p in panels if p.cached]
         if op.aggregate:
             return Panel(self, None, "broadcast", step, text, spec, cache, record, aggregate=op.aggregate(columns[0]))
         e = op.function(*columns, **params, **({"tags": tags} if op.takes_tags else {}))
-        return Panel(self, self.column(e, op.masked), result, step, text, spec, cache, record)
+        return Panel(self, self.column(_clean(e, result), op.masked), result, step, text, spec, cache, record)
 
     def binary(self, name: str, a, b) -> Panel:
         """Dunder arithmetic and comparison: keeps the type of the side that is no broadcast; masked like every operator."""
@@ -144,35 +213,35 @@ class Session:
         e = op.function(*[p.on_grid() for p in panels])
         tag = "boolean" if op.result == "boolean" else kept
         cache = [c for p in panels for c in p.cache] + [Step(p.step, p.expr, p) for p in panels if p.cached]
-        return Panel(self, self.column(e), tag, max(p.step for p in panels) + 1, f"{name}({', '.join(p.expr for p in panels)})", {"op": name, "args": [p.spec for p in panels], "params": {}}, cache)
+        return Panel(self, self.column(_clean(e, tag)), tag, max(p.step for p in panels) + 1, f"{name}({', '.join(p.expr for p in panels)})", {"op": name, "args": [p.spec for p in panels], "params": {}, "form": "symbol"}, cache)
 
     # ---- universe ----
 
     def universe(self) -> DataFrame:
-        return self._frame.select("date", "symbol", "in_universe")
+        return self.frame().select("date", "symbol", "in_universe")
 
     def universe_count(self) -> DataFrame:
-        return self._frame.groupBy("date").agg(F.sum(F.col("in_universe").cast("int")).cast("long").alias("value"))
+        return self.frame().groupBy("date").agg(F.sum(F.col("in_universe").cast("int")).cast("long").alias("value"))
 
     def is_in_universe(self, date, symbol) -> bool:
-        row = self._frame.filter((F.col("date") == F.lit(date).cast("date")) & (F.col("symbol") == F.lit(symbol))).select("in_universe").first()
+        row = self.frame().filter((F.col("date") == F.lit(date).cast("date")) & (F.col("symbol") == F.lit(symbol))).select("in_universe").first()
         return bool(row and row["in_universe"])
 
     def with_universe(self, member: Panel) -> Session:
         """A session over the cells of this universe where member is true; it keeps source and scaler."""
         if member.tag != "boolean":
             raise TypeError(f"a universe is boolean, not {member.tag}")
-        cells = self._frame.select("date", "symbol", (F.col("in_universe") & F.coalesce(member.on_grid(), F.lit(False))).alias("in_universe"))
-        out = Session(self.catalog, cells, self.start, self.end, self.returns_field, self.buffer_days)
+        inside = self.frame().select("date", "symbol", (F.col("in_universe") & F.coalesce(member.on_grid(), F.lit(False))).alias("in_universe"))
+        out = Session(self.catalog, inside, self.start, self.end, self.returns_field, self.buffer_days)
         out._scaler = self._scaler
         return out
 
-    def restricted_to(self, cells: DataFrame) -> Session:
+    def restricted_to(self, universe: DataFrame) -> Session:
         """A session over the universe date, symbol, in_universe; one that would add a cell to this universe is an error."""
-        new = cells.filter("in_universe").select("date", "symbol")
-        if new.join(self._frame.filter("in_universe"), ["date", "symbol"], "left_anti").limit(1).count():
+        new = universe.filter("in_universe").select("date", "symbol")
+        if new.join(self.frame().filter("in_universe"), ["date", "symbol"], "left_anti").limit(1).count():
             raise ValueError("the new universe is no subset of the session's")
-        out = Session(self.catalog, cells, self.start, self.end, self.returns_field, self.buffer_days)
+        out = Session(self.catalog, universe, self.start, self.end, self.returns_field, self.buffer_days)
         out._scaler = self._scaler
         return out
 
@@ -190,14 +259,14 @@ class Session:
     def to_weights(self, signal: Panel) -> Panel:
         if self._scaler is None:
             raise RuntimeError("no scaler is set")
-        return Panel(self, self.column(self._scaler(signal.on_grid()), masked=False), "weight", signal.step + 1, f"weights({signal.expr})", {"op": "weights", "args": [signal.spec], "params": {}}, list(signal.cache))
+        return Panel(self, self.column(cells.clean(self._scaler(signal.on_grid())), masked=False), "weight", signal.step + 1, f"weights({signal.expr})", {"op": "weights", "args": [signal.spec], "params": {}}, list(signal.cache))
 
     def _earned(self, weights: Panel, side: Column, name: str) -> Panel:
         if weights.tag != "weight":
             raise TypeError(f"returns are made of weights, not of {weights.tag}")
         ret = self.field(self.returns_field)
         before = F.when(F.col("in_universe"), rolling.ts_delay(side, 1))
-        return Panel(self, self.column(before * ret.on_grid()), "port_return", weights.step + 1, f"{name}({weights.expr})", {"op": name, "args": [weights.spec], "params": {}}, list(weights.cache))
+        return Panel(self, self.column(cells.clean(before * ret.on_grid())), "port_return", weights.step + 1, f"{name}({weights.expr})", {"op": name, "args": [weights.spec], "params": {}}, list(weights.cache))
 
     def to_portfolio_returns(self, weights: Panel) -> Panel:
         """Yesterday's weight times today's return, where the symbol is in the universe today."""
@@ -228,6 +297,12 @@ class Session:
             return special[spec["op"]](*args)
         if spec["op"] not in REGISTRY:
             raise ValueError(f"no operator {spec['op']}")
-        return self.apply(REGISTRY[spec["op"]], args, spec["params"])
+        if spec.get("form") == "symbol":
+            return self.binary(spec["op"], *args)
+        params = {k: {a: b for a, b in v} if k == "mapping" and isinstance(v, list) else v for k, v in spec["params"].items()}
+        return self.apply(REGISTRY[spec["op"]], args, params)
 
 
+def _clean(e: Column, tag: str) -> Column:
+    """A numeric result is missing where it would be NaN."""
+    return cells.clean(e) if tag in NUMERIC else e

@@ -28,25 +28,26 @@ def _source(sf_dir: str, table: str) -> str:
 
 
 def ev_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    q = "select cast(ts as date) as date, user_id as symbol, {} as value from " + _source(sf_dir, "events") + " where cast(ts as date) between :start_date and :end_date group by 1, 2"
+    q = (
+        "select cast(ts as date) as date, user_id as symbol, sum(case when event_type in ('click', 'view') then value end) as x, sum(value) as y, min(event_type) as g, max(event_type) as h,"
+        " max(event_type = 'purchase') as bought from " + _source(sf_dir, "events") + " where cast(ts as date) between :start_date and :end_date group by 1, 2"
+    )
     return Catalog(
         spark,
         {
-            "x": {"query": q.format("sum(case when event_type in ('click', 'view') then value end)")},
-            "y": {"query": q.format("sum(value)")},
-            "g": {"query": q.format("min(event_type)"), "data_type": "group"},
-            "h": {"query": q.format("max(event_type)"), "data_type": "group"},
-            "bought": {"query": q.format("max(event_type = 'purchase')"), "data_type": "event"},
-            "last_x": {"query": q.format("sum(case when event_type in ('click', 'view') then value end)"), "forward_fill": "value"},
-            "row_x": {"query": q.format("sum(case when event_type in ('click', 'view') then value end)"), "forward_fill": "row"},
+            "x": {"query": q, "value_col": "x"},
+            "y": {"query": q, "value_col": "y"},
+            "g": {"query": q, "value_col": "g", "data_type": "group"},
+            "h": {"query": q, "value_col": "h", "data_type": "group"},
+            "bought": {"query": q, "value_col": "bought", "data_type": "event"},
+            "last_x": {"query": q, "value_col": "x", "forward_fill": "value"},
+            "row_x": {"query": q, "value_col": "x", "forward_fill": "row"},
         },
     )
 
 
 def ev_session(spark: SparkSession, sf_dir: str) -> Session:
-    catalog = ev_catalog(spark, sf_dir)
-    cells = load_cells(catalog, "y").select("date", "symbol", (~((F.col("symbol") % 7 == 3) & (F.day("date") % 5 == 0))).alias("in_universe"))
-    return Session(catalog, cells, returns="ret")
+    return Session(ev_catalog(spark, sf_dir), "y", returns="ret", member=~((F.col("symbol") % 7 == 3) & (F.day("date") % 5 == 0)))
 
 
 EV = """

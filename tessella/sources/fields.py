@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import READERS, Catalog
+from .catalog import READERS, Catalog, Field
 
 
 def _between(e: Column, start, end) -> list[Column]:
@@ -16,9 +16,15 @@ def _between(e: Column, start, end) -> list[Column]:
     return out if end is None else [*out, e <= F.lit(str(end)).cast("date")]
 
 
-def load_cells(catalog: Catalog, name: str, start: Date | str | None = None, end: Date | str | None = None, buffer_days: int = 0) -> DataFrame:
-    """date, symbol, value within [start - buffer_days, end]. Two rows of a cell are an error when they are read."""
-    spark, f = catalog.spark, catalog.field(name)
+def source_of(f: Field) -> tuple:
+    """Fields of one source are read together."""
+    return (f.query, "") if f.query else (f.db_type, f.table), f.index_col, f.security_col
+
+
+def load_rows(catalog: Catalog, names: list[str], start: Date | str | None = None, end: Date | str | None = None, buffer_days: int = 0) -> DataFrame:
+    """date, symbol and a column per name, as the one source of these fields has them, within [start - buffer_days, end]; unchecked."""
+    spark, every = catalog.spark, [catalog.field(n) for n in names]
+    f = every[0]
     if start is not None and buffer_days:
         start = (start if isinstance(start, Date) else Date.fromisoformat(str(start))) - timedelta(days=buffer_days)
     if f.query:
@@ -28,7 +34,7 @@ def load_cells(catalog: Catalog, name: str, start: Date | str | None = None, end
             raise KeyError(f"no reader {f.db_type}")
         rows = READERS[f.db_type](spark, f)
         # the layout's year column prunes folders; the date filter is pushed into the files
-        if "year" in rows.columns and "year" not in (f.index_col, f.value_col):
+        if "year" in rows.columns and "year" not in (f.index_col, *[x.value_col for x in every]):
             if start is not None:
                 rows = rows.filter(F.col("year").cast("int") >= int(str(start)[:4]))
             if end is not None:
@@ -40,15 +46,27 @@ def load_cells(catalog: Catalog, name: str, start: Date | str | None = None, end
         rows = rows.filter((text >= str(start)) if start is not None else F.lit(True)).filter((F.substring(text, 1, 10) <= str(end)) if end is not None else F.lit(True))
     for c in _between(day, start, end):
         rows = rows.filter(c)
+    values = [_value(x, raw[x.value_col]).alias(n) for n, x in zip(names, every, strict=True)]
+    return rows.select(day.alias("date"), F.col(f.security_col).alias("symbol"), *values).filter("date is not null and symbol is not null")
+
+
+def _value(f: Field, kind: str) -> Column:
     value = F.col(f.value_col)
-    kind = raw[f.value_col]
     if f.tag in ("numeric", "weight", "port_return"):
         value = value.cast("double")
-        value = F.when(~F.isnan(value), value)
-    elif f.tag == "boolean":
-        value = value.cast("boolean")
-    elif f.tag == "group" and kind != "string":
-        value = value.cast("string")
-    cells = rows.select(day.alias("date"), F.col(f.security_col).alias("symbol"), value.alias("value")).filter("date is not null and symbol is not null")
-    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"field {name}: two rows of one date and symbol"))).otherwise(F.first("value"))
-    return cells.groupBy("date", "symbol").agg(once.alias("value"))
+        return F.when(~F.isnan(value), value)
+    if f.tag == "boolean":
+        return value.cast("boolean")
+    return value.cast("string") if f.tag == "group" and kind != "string" else value
+
+
+def once(names: list[str], label: str) -> list[Column]:
+    """Aggregates that give a cell's values, and an error where the cell has two rows."""
+    twice = F.count(F.lit(1)) > 1
+    return [F.when(twice, F.raise_error(F.lit(f"field {label}: two rows of one date and symbol"))).otherwise(F.first(n)).alias(n) for n in names]
+
+
+def load_cells(catalog: Catalog, name: str, start: Date | str | None = None, end: Date | str | None = None, buffer_days: int = 0) -> DataFrame:
+    """date, symbol, value within [start - buffer_days, end]. Two rows of a cell are an error when they are read."""
+    rows = load_rows(catalog, [name], start, end, buffer_days).withColumnRenamed(name, "value")
+    return rows.groupBy("date", "symbol").agg(*once(["value"], name))

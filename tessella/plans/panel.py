@@ -33,6 +33,7 @@ class Panel:
     def __init__(self, session: Session, name: str | None, tag: str, step: int, expr: str, spec: dict, cache: list[Step] | None = None, cached: bool = False, aggregate: Column | None = None):
         self.session, self.name, self.tag, self.step, self.expr, self.spec = session, name, tag, step, expr, spec
         self.cache, self.cached, self._aggregate = cache or [], cached, aggregate
+        self._kept: DataFrame | None = None
 
     def on_grid(self) -> Column:
         """The column in the session's frame; one value a date is the aggregate over that date."""
@@ -41,11 +42,23 @@ class Panel:
         return F.col(self.name)
 
     def to_df(self) -> DataFrame:
-        """date, symbol, value over the grid; date, value of one value a date."""
+        """date, symbol, value over the grid; date, value of one value a date. A recorded output is kept once it was asked for."""
+        if not self.cached:
+            return self._df()
+        if not any(self._kept is k for k in self.session._kept):
+            self._kept = self._df().persist()
+            self.session._kept.append(self._kept)
+        return self._kept
+
+    def _df(self) -> DataFrame:
         if self._aggregate is not None:
             return self.session.frame().groupBy("date").agg(cells.clean(self._aggregate).alias("value"))
         return self.session.frame().select("date", "symbol", F.col(self.name).alias("value"))
 
+    def to_wide_df(self, symbols: list) -> DataFrame:
+        """A row a date and a column for each of these symbols, as a Spark frame to write or to go on with."""
+        return self.to_df().groupBy("date").pivot("symbol", symbols).agg(F.first("value"))
+
     def to_wide(self) -> pd.DataFrame:
         """A pandas frame of dates by symbols, in the driver."""
         long = self.to_df().toPandas()

@@ -22,6 +22,7 @@ from ..sources.fields import load_rows, source_of
 from . import portfolio
 from .grid import calendar, grid
 from .panel import Panel, Step
+from .steps import Steps
 
 
 class _Ops:
@@ -60,6 +61,7 @@ class Session:
         self._fixed_sources: list[str] = []
         self._built: tuple[int, int, DataFrame] | None = None
         self._names = 0
+        self._kept: list[DataFrame] = []  # recorded outputs
         self._fields: dict[str, Panel] = {}
         self._scaler: Callable[[Column], Column] | None = None
         self.ops = _Ops(self)
@@ -140,7 +142,10 @@ class Session:
         return self
 
     def release(self) -> Session:
-        """Frees what `persist` keeps; results are the same, computed anew."""
+        """Frees what `persist` and recorded outputs keep; results are the same, computed anew."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
         if self._fixed is not None:
             self._fixed[0].unpersist()
             self._fixed, self._fixed_sources, self._built = None, [], None
@@ -247,19 +252,34 @@ class Session:
 
     # ---- portfolio ----
 
-    def set_scaler(self, scaler: str | Callable, **params) -> Session:
+    @staticmethod
+    def scaler_of(scaler: str | Callable, **params) -> Callable[[Column], Column]:
         """A name of portfolio.SCALERS, or a function of a column; parameters go to it."""
         if isinstance(scaler, str):
             if scaler not in portfolio.SCALERS:
                 raise KeyError(f"no scaler {scaler}; there are {', '.join(sorted(portfolio.SCALERS))}")
             scaler = portfolio.SCALERS[scaler]
-        self._scaler = lambda x: scaler(x, **params)
+        return lambda x: scaler(x, **params)
+
+    def set_scaler(self, scaler: str | Callable, **params) -> Session:
+        self._scaler = self.scaler_of(scaler, **params)
         return self
 
-    def to_weights(self, signal: Panel) -> Panel:
-        if self._scaler is None:
+    def get_active_scaler(self) -> Callable[[Column], Column] | None:
+        """What `set_scaler` set, as a function of a column."""
+        return self._scaler
+
+    def weigh(self, signal: Panel, scaler: Callable[[Column], Column] | None) -> Panel:
+        if scaler is None:
             raise RuntimeError("no scaler is set")
-        return Panel(self, self.column(cells.clean(self._scaler(signal.on_grid())), masked=False), "weight", signal.step + 1, f"weights({signal.expr})", {"op": "weights", "args": [signal.spec], "params": {}}, list(signal.cache))
+        return Panel(self, self.column(cells.clean(scaler(signal.on_grid())), masked=False), "weight", signal.step + 1, f"weights({signal.expr})", {"op": "weights", "args": [signal.spec], "params": {}}, list(signal.cache))
+
+    def to_weights(self, signal: Panel) -> Panel:
+        return self.weigh(signal, self._scaler)
+
+    def steps(self, panel: Panel, scaler: str | Callable | None = None, **params) -> Steps:
+        """Signal, weights, returns and PnL of every step of the panel's expression."""
+        return Steps(self, panel, scaler, **params)
 
     def _earned(self, weights: Panel, side: Column, name: str) -> Panel:
         if weights.tag != "weight":

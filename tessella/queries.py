@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .plans.panel import Panel
 from .plans.portfolio import additive_drawdown, cumulative_pnl, metrics
 from .plans.session import Session
-from .sources import reshape
+from .sources import reshape, vendor
 from .sources.catalog import Catalog
 from .sources.fields import load_cells
 
@@ -376,7 +376,80 @@ QUERIES["etl_describe"] = etl_describe
 ORACLES["etl_describe"] = f"{EV} select count(*) as n, count(distinct symbol) as n_symbols, min(date) as first_date, max(date) as last_date, round(avg(y), 6) + 0.0 as mean, round(stddev_samp(y), 6) + 0.0 as std from raw"
 
 
-_DATES = {"ship_monthly": ("month",), "etl_describe": ("first_date", "last_date"), "metrics": ()}
+def etl_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sheet over all days and all items of the table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    wide = events.withColumn("d", F.date_format("ts", "yyyy-MM-dd")).groupBy(F.col("user_id").alias("Symbol"), F.col("event_type").alias("Item")).pivot("d").agg(F.round(F.sum("value"), 2))
+    long = reshape.melt_to_long(wide, ["Symbol", "Item"]).withColumn("value", F.col("value").cast("double")).filter("value is not null")
+    return _rounded(reshape.rename_columns(reshape.pivot_items(long, ["date", "Symbol"], items=["click", "error", "purchase", "signup", "view"]), {"Symbol": "symbol"}))
+
+
+QUERIES["etl_sheet"] = etl_sheet
+ORACLES["etl_sheet"] = "select cast(ts as date) as date, user_id as symbol, " + ", ".join(f"round(sum(case when event_type = '{k}' then value end), 2) as {k}" for k in ("click", "error", "purchase", "signup", "view")) + " from events group by 1, 2"
+
+
+def etl_all_event_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyyMMdd")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    return _rounded(reshape.event_flags(events.select(text.alias("event_date"), F.col("user_id").alias("symbol"))))
+
+
+QUERIES["etl_all_event_flags"] = etl_all_event_flags
+ORACLES["etl_all_event_flags"] = "select distinct cast(ts as date) as date, user_id as symbol, 1.0::double as value from events"
+
+
+def etl_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as text, typed again: prices as exact integers, capital in millions, fundamentals in thousands, a status as a flag."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    price = F.col("p_retailprice").cast("decimal(18,2)")
+    df = p.select(F.col("p_partkey").alias("symbol"), F.round(price).cast("string").alias("adj_close"), price.cast("string").alias("market_cap_million"), F.col("p_retailprice").alias("sales_thousand"), F.when(F.col("p_partkey") % 5 != 0, F.when(F.col("p_partkey") % 2 == 0, vendor.TRADING).otherwise("halt")).alias("trading_halt_status"))
+    return _rounded(vendor.preprocess_price(df))
+
+
+QUERIES["etl_typed"] = etl_typed
+ORACLES["etl_typed"] = """select p_partkey as symbol, cast(round(cast(p_retailprice as decimal(18,2))) as bigint) as adj_close, cast(cast(p_retailprice as decimal(18,2)) * 1000000 as bigint) as market_cap,
+round(p_retailprice * 1000, 6) + 0.0 as sales, (case when p_partkey % 5 <> 0 and p_partkey % 2 = 0 then 0.0 else 1.0 end)::double as is_trading_suspended from part"""
+
+
+def etl_zero_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices that are 0 every third day: infinite on the day after, missing where 0 follows 0."""
+    prices = load_cells(ev_catalog(spark, sf_dir), "y").withColumn("adj_close", F.when(F.day("date") % 3 == 0, 0.0).otherwise(F.col("value")))
+    return _rounded(reshape.calculate_returns(prices))
+
+
+QUERIES["etl_zero_price"] = etl_zero_price
+ORACLES["etl_zero_price"] = f"""{EV}, z as (select date, symbol, case when day(date) % 3 = 0 then 0.0 else y end as p from raw),
+b as (select date, symbol, p, lag(p) over (partition by symbol order by date) as q from z)
+select date, symbol, case when q = 0 then case when p > 0 then 'inf'::double else '-inf'::double end else round(p / q - 1, 6) + 0.0 end as return from b where q is not null and not (q = 0 and p = 0)"""
+
+
+def etl_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reshape.value_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type"))
+
+
+QUERIES["etl_value_counts"] = etl_value_counts
+ORACLES["etl_value_counts"] = "select event_type as value, count(*) as n, round(count(*) / sum(count(*)) over (), 6) + 0.0 as share from events group by 1"
+
+
+def etl_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.profile(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")).drop("type")
+
+
+QUERIES["etl_profile"] = etl_profile
+ORACLES["etl_profile"] = " union all ".join(f"select '{c}' as name, count(*) as n, count(*) - count({c}) as missing, count(distinct {c}) as n_distinct from customer" for c in ("c_custkey", "c_nationkey", "c_mktsegment"))
+
+# ---- infinite cells, specs, steps ----
+
+ev("infinite_arithmetic", "case when y - y = 0 and x > 0 then null else 1.0 end")(lambda s: (lambda z: s.ops.if_else(z > 5.0, z - z, 1.0))(s.ops.divide(s("x"), s("y") - s("y"))))
+ev("infinite_window", observed("avg(z) over w5", "z", "w5", 2))(lambda s: s.ops.ts_mean(s.ops.if_else(s("x") > 60.0, s.ops.divide(s("x"), s("y") - s("y")), s("x")), window=5))
+ORACLES["infinite_window"] = ORACLES["infinite_window"].replace("from p window", "from (select *, case when x > 60 then null else x end as z from p) window")
+_again = lambda s, panel: s.evaluate(__import__("json").loads(panel.to_json()))
+ev("spec_broadcast", "x - avg(x) over wd")(lambda s: _again(s, s("x") - s.ops.cross_mean(s("x"))))
+ev("spec_labels", "coalesce(g = h, false)", "boolean")(lambda s: _again(s, s("g") == s("h")))
+ev("spec_number_keys", "case sign(x - 50) when 1 then 10.0 when -1 then -10.0 else sign(x - 50)::double end")(lambda s: _again(s, s.ops.map_values(s.ops.sign(s("x") - 50.0), mapping={1.0: 10.0, -1.0: -10.0})))
+_bt("pnl_by_step", lambda s, w, signal: (lambda st: st.with_scaler("DollarNeutral").cumulative_pnl(len(st) - 1))(s.steps(signal, "LongOnly")), "select date, round(sum(pnl) over (order by date), 6) + 0.0 as value from dy")
+
+_DATES = {"ship_monthly": ("month",), "etl_describe": ("first_date", "last_date"), "metrics": (), "etl_typed": (), "etl_value_counts": (), "etl_profile": ()}
 for _n, _sql in ORACLES.items():
     if _dates := _DATES.get(_n, ("date",)):
         ORACLES[_n] = f"select * replace ({', '.join(f'cast({d} as varchar) as {d}' for d in _dates)}) from ({_sql})"

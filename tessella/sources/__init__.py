@@ -1,5 +1,6 @@
 """Field catalogs, readers, loading onto a grid, reshaping of vendor tables, and sinks."""
 
+from . import excel
 from .catalog import Catalog, Field
 
-__all__ = ["Catalog", "Field"]
+__all__ = ["excel", "Catalog", "Field"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
@@ -47,7 +48,7 @@ register_reader("table", lambda spark, f: spark.table(f.table))
 
 class Catalog:
     def __init__(self, spark: SparkSession, config: dict[str, dict], root: str = ""):
-        """root: what relative tables are below."""
+        """root: what relative tables, and relative paths in queries, are below."""
         self.spark = spark
         known = {f.name for f in fields(Field)}
         self._fields = {}
@@ -55,6 +56,8 @@ class Catalog:
             c = {k: v for k, v in c.items() if k in known}
             if root and c.get("db_type", "parquet") != "table" and c.get("table") and "://" not in c["table"] and not c["table"].startswith("/"):
                 c["table"] = f"{root}/{c['table']}"
+            if root and c.get("query"):  # paths of the form parquet.`path` that are relative
+                c["query"] = re.sub(r"(\b(?:parquet|orc|csv|json)\.`)(?!/|[a-zA-Z][\w+.-]*:)", lambda m: f"{m[1]}{root}/", c["query"])
             if c.get("forward_fill") is True:
                 c["forward_fill"] = "value"
             self._fields[name] = Field(name=name, **c)

@@ -104,3 +104,23 @@ def describe(df: DataFrame, date: str, symbol: str, value: str) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(symbol).alias("n_symbols"), F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")
     )
+
+
+def value_counts(df: DataFrame, column: str, contains: str | None = None) -> DataFrame:
+    """value, n, share: how often each value occurs, missing included; only those that contain a text, if one is given."""
+    rows = df.select(F.col(column).alias("value"))
+    rows = rows.filter(F.col("value").cast("string").contains(contains)) if contains is not None else rows
+    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("value", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+
+
+def distinct_values(df: DataFrame, *columns: str, limit: int = 20) -> DataFrame:
+    """The first distinct combinations in order: a report, so limited."""
+    return df.select(*columns).distinct().orderBy(*columns).limit(limit)
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """A row per column: name, type, rows, missing, distinct values (exact)."""
+    stats = df.agg(*[F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col(f"`{c}`").isNull().cast("long")).alias("missing"), F.countDistinct(F.col(f"`{c}`")).alias("n_distinct")).alias(f"s{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(c).alias("name"), F.lit(t).alias("type"), F.col(f"s{i}.n").alias("n"), F.coalesce(F.col(f"s{i}.missing"), F.lit(0)).alias("missing"), F.col(f"s{i}.n_distinct").alias("n_distinct")) for i, (c, t) in enumerate(df.dtypes)]
+    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

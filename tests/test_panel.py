@@ -62,8 +62,8 @@ def test_rolling_needs_its_share_of_observations(spark):
 
 
 def test_product_is_missing_where_a_value_is(spark):
-    s = make(spark, {"x": [[1.1, 1.0, 0.9], [1.2, None, 1.0], [1.05, 1.05, None], [1.0, 1.0, 1.0]]})
-    close(values(s.ops.ts_product(s("x"), window=3)), [[1.1, 1.0, 0.9], [1.32, None, 0.9], [1.386, None, None], [1.26, None, None]])
+    s = make(spark, {"x": [[2.0, 3.0], [-1.5, 4.0], [6.0, None], [0.5, 2.0], [4.0, 8.0]]})
+    close(values(s.ops.ts_product(s("x"), window=2)), [[2.0, 3.0], [-3.0, 12.0], [-9.0, None], [3.0, None], [2.0, 16.0]])
 
 
 def test_all_of_a_holed_window_is_false(spark):
@@ -106,17 +106,18 @@ def test_cross_section(spark):
 
 
 def test_scale_and_its_errors(spark):
-    s = make(spark, {"x": [[2.0, -3.0, 1.0, -4.0, 0.0]], "up": [[2.0, 3.0, 1.0, 4.0, None]]})
-    close(values(s.ops.scale(s("x"))), [[2 / 3, -3 / 7, 1 / 3, -4 / 7, 0.0]])
-    close(values(s.ops.scale(s("up"), long=1.0, short=0.0)), [[0.2, 0.3, 0.1, 0.4, None]])
+    s = make(spark, {"x": [[9.0, -5.0, 0.0, 3.0, -15.0]], "up": [[6.0, None, 10.0, 4.0, None]]})
+    close(values(s.ops.scale(s("x"), long=2.0)), [[1.5, -0.25, 0.0, 0.5, -0.75]])
+    close(values(s.ops.scale(s("up"), long=1.0, short=0.0)), [[0.3, None, 0.5, 0.2, None]])
     with pytest.raises(Exception, match="no negative value"):
         values(s.ops.scale(s("up")))
 
 
 def test_label_quantile(spark):
-    s = make(spark, {"x": [[1.0, 1.0, 1.0, 5.0, 5.0, 5.0], [2.0] * 6, [None] * 6, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]]})
-    got = values(s.ops.label_quantile(s("x"), bins=3, labels=["low", "mid", "high"]))
-    assert got == [["low"] * 3 + ["high"] * 3, ["low"] * 6, [None] * 6, ["low", "low", "mid", "mid", "high", "high"]]
+    s = make(spark, {"x": [[7.0, -2.0, 7.0, -2.0, -2.0, -2.0, 7.0, 7.0], [0.25] * 8, [None] * 8, [80.0, 10.0, 70.0, 20.0, 60.0, 30.0, 50.0, 40.0]]})
+    got = values(s.ops.label_quantile(s("x"), bins=4, labels=["q1", "q2", "q3", "q4"]))
+    # two values: ranks 1 and 5 of 8; all distinct: two in each bin
+    assert got == [["q3", "q1", "q3", "q1", "q1", "q1", "q3", "q3"], ["q1"] * 8, [None] * 8, ["q4", "q1", "q4", "q1", "q3", "q2", "q3", "q2"]]
     with pytest.raises(ValueError):
         s.ops.label_quantile(s("x"), bins=3, labels=["a"])
 
@@ -160,10 +161,10 @@ def test_comparison_and_logic_of_missing(spark):
 
 
 def test_labels(spark):
-    s = make(spark, {"g": [["Small", "Big", None, "?"]], "h": [["x", None, "y", "z"]]}, types={"g": "group", "h": "group"})
-    assert values(s.ops.map_values(s("g"), mapping={"Small": 1, "Big": -1})) == [[1.0, -1.0, None, None]]
-    assert values(s.ops.map_values(s("g"), mapping={"Small": "S"})) == [["S", "Big", None, "?"]]
-    assert values(s.ops.composite_group(s("g"), s("h"))) == [["Small&x", None, None, "?&z"]]
+    s = make(spark, {"g": [["left", "right", None, "?"]], "h": [["x", None, "y", "z"]]}, types={"g": "group", "h": "group"})
+    assert values(s.ops.map_values(s("g"), mapping={"left": 1, "right": -1})) == [[1.0, -1.0, None, None]]
+    assert values(s.ops.map_values(s("g"), mapping={"left": "L"})) == [["L", "right", None, "?"]]
+    assert values(s.ops.composite_group(s("g"), s("h"))) == [["left&x", None, None, "?&z"]]
 
 
 def test_masks(spark):

@@ -12,7 +12,7 @@ A document goes if its failing lines hold more than half of its word characters.
 The base counts are exact and do not depend on the line rules.
 
 Nulls and edges: null text counts as empty: no words, so base_failed and not kept; a null id is passed on; rows are judged one by
-one, so repeated rows get equal results; other columns are ignored.
+one, so repeated rows get equal results; very long texts are judged whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,3 +151,25 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id").slice(i, n)} | {k: pa.array(v, pa.bool_() if v.dtype == bool else pa.int64()) for k, v in c.items()} | {"clean_text": strings(data, at)})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w3 as (select doc_id, i, array_to_string(ws[i:i+2], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d)),
+r3 as (select doc_id, i from w3 qualify count(*) over (partition by doc_id, win) > 1),
+rw as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from r3) group by 1),
+s as (select doc_id, string_split(t, chr(10)) as ls from d),
+l0 as (select doc_id, unnest(range(1, len(ls) + 1)) as k, unnest(ls) as line from s),
+l as (select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws from l0),
+m as (select *, len(ws) as n, row_number() over (partition by doc_id, line order by k) > 1 and len(ws) > 0 as dup,
+  coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) as chars, coalesce(list_sum(list_transform(ws, lambda w: strlen(w))), 0) as solid,
+  len(list_filter(ws, lambda w: w in ('|', '>'))) as bars, length(regexp_replace(line, '[A-Za-z0-9\x09-\x0D\x20]|[^\x00-\x7F]', '', 'g')) as punct,
+  len(list_filter(ws, lambda w: strlen(w) > 2 and regexp_matches(w, '[\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{2}$'))) as tails,
+  translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from l),
+f as (select *, n > 0 and ((bars >= 2 and 3 * bars >= n) or (n >= 4 and (3 * punct >= solid or 2 * tails >= n)) or (n <= 40 and (PHRASES)) or (dup and n >= 4)) as failed from m),
+g as (select doc_id, sum(dup::int)::bigint as n_dup_lines, sum(failed::int)::bigint as lines_failed, sum(case when failed then chars else 0 end)::bigint as chars_lost, sum(chars)::bigint as word_chars from f group by 1),
+b as (select d.doc_id, len(ws)::bigint as n_words, word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, n_dup_lines, coalesce(rw.n, 0)::bigint as n_repeat_words, lines_failed, chars_lost
+  from d join g using (doc_id) left join rw using (doc_id)),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and chars_lost <= 0.5 * word_chars as kept, lines_failed, chars_lost from v
+""".replace("PHRASES", " or ".join(f"contains(low, '{p.decode()}')" for p in BOILERPLATE))

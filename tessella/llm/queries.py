@@ -60,4 +60,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_quality, op4_packing, op5_secret_scan, op6_token_files, op7_line_rules, op8_sentencepiece, op9_simhash_dedup, op10_exact_dedup)}
 
-ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op7_line_rules": line_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cluster, exact_dedup, line_rules, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, spans, substring_dedup, token_files
+from . import cluster, divergence, exact_dedup, line_rules, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, spans, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_quality, op4_packing, op5_secret_scan, op6_token_files, op7_line_rules, op8_sentencepiece, op9_simhash_dedup, op10_exact_dedup)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_documents(spark, sf_dir))
 
-ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op7_line_rules": line_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_pii, op3_quality, op4_packing, op5_secret_scan, op6_token_files, op7_line_rules, op8_sentencepiece, op9_simhash_dedup,
+        op10_exact_dedup, op11_divergence,
+    )
+}
+
+ORACLES = {"op1_substring_dedup": substring_dedup.SQL, "op7_line_rules": line_rules.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_divergence": divergence.SQL}

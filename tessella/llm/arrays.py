@@ -95,6 +95,19 @@ class Words:
         return segment_hashes(self.buf, self.start, self.end, ((_BYTE, _BASE), (_BYTE_2, _BASE_2)))
 
 
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the maximal runs of bytes of a kind, none across documents."""
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    at = off[:-1][off[:-1] < len(inside)]  # a document's first byte begins a run, its last ends one
+    begins[at] |= inside[at]
+    last = off[1:] - 1
+    last = last[last >= 0]
+    ends[last] |= inside[last]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import cluster
-from .arrays import U64, blocks, column, mix, segment_hash, small, strings, take_segments, text_buffer
+from .arrays import U64, blocks, column, mix, runs, segment_hash, small, strings, take_segments, text_buffer
 from .simhash import _LOWER
 
 UNIT = 1_000_000_000
@@ -52,16 +52,7 @@ class Terms:
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         self.n_docs = len(off) - 1
-        inside = _TERM[buf]
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
-        at = off[:-1][off[:-1] < len(buf)]  # a document's first byte begins a term, its last ends one
-        begins[at] |= inside[at]
-        last = off[1:] - 1
-        last = last[last >= 0]
-        ends[last] |= inside[last]
-        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        start, end = runs(_TERM[buf], off)
         self.doc = np.searchsorted(off, start, "right") - 1
         data, at = take_segments(_LOWER[buf], start, end, np.arange(len(start)), len(start))
         coded = strings(data, at).dictionary_encode()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cluster, conversation_repair, divergence, exact_dedup, line_rules, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, spans, substring_dedup, token_files
+from . import cluster, conversation_repair, divergence, exact_dedup, license_scan, line_rules, packing, pii, quality, secret_scan, sentencepiece_codec, simhash, spans, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_documents(spark, sf_dir))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_documents(spark, sf_dir)).drop("matches")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"), damage=True)
 
@@ -70,7 +74,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_pii, op3_quality, op4_packing, op5_secret_scan, op6_token_files, op7_line_rules, op8_sentencepiece, op9_simhash_dedup,
-        op10_exact_dedup, op11_divergence, op13_conversation_repair,
+        op10_exact_dedup, op11_divergence, op12_license_scan, op13_conversation_repair,
     )
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/tessella-scratch-{spark.sparkContext.applicationId}"
 
 
+#: Tables of `materialize` that are still there: thread, scratch folder, path.
+_HELD: list[tuple[int, str, str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the scratch folder: cuts the lineage, is computed once and outlives executors."""
-    return _write(df, f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}")
+    """df as a Parquet table in the scratch folder: cuts the lineage, is computed once and outlives executors. It stays until `release`."""
+    folder = scratch_dir(df.sparkSession)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    _HELD.append((threading.get_ident(), folder, path))
+    return _write(df, path)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes what `materialize` has made in this thread, but for the tables that keep reads. What else is made of them must be written before."""
+    folder, read = scratch_dir(spark), "\n".join(keep.inputFiles()) if keep is not None else ""
+    for entry in [e for e in _HELD if e[:2] == (threading.get_ident(), folder) and e[2].rsplit("/", 1)[1] not in read]:
+        delete(spark, entry[2])
+        _HELD.remove(entry)
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
@@ -71,10 +87,10 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs as a table with a number of its own for every row, and that column's name. Written once, so the numbers stay."""
+def numbered(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, str]:
+    """docs as a table (of scratch, if given) with a number of its own for every row, and that column's name. Written once, so the numbers stay."""
     row = fresh("_row", docs.columns)
-    return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row
+    return (scratch.table if scratch else materialize)(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:

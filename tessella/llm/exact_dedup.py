@@ -127,8 +127,9 @@ def _rows(table: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id (largest id among equal texts), group_size, kept (true for one row of each text), text_sha256."""
-    table, row = cluster.numbered(docs.select(id_col, text_col))
-    out = _groups(_rows(table, row, id_col, text_col))
+    with cluster.Scratch(docs.sparkSession) as scratch:
+        table, row = cluster.numbered(docs.select(id_col, text_col), scratch)
+        out = _groups(_rows(table, row, id_col, text_col))
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

@@ -132,8 +132,8 @@ class _Packer:
         return out
 
 
-def pack(docs: DataFrame, length: int = 2048, vocab: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 4 bytes each)."""
+def pack(docs: DataFrame, length: int = 2048, vocab: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", scratch: cluster.Scratch | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 4 bytes each). scratch: where the encoded documents are kept; write the result before it ends."""
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     spark = docs.sparkSession
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, length: int = 2048, vocab: str | None = None, end_id:
                     | {a: pa.array(v) for a, v in zip(axes, x.T, strict=True)}
                 )
 
-    known = cluster.materialize(rows.mapInArrow(encoded, "tie long, doc_id long, ids binary, " + ", ".join(f"{a} double" for a in axes)))
+    known = (scratch.table if scratch else cluster.materialize)(rows.mapInArrow(encoded, "tie long, doc_id long, ids binary, " + ", ".join(f"{a} double" for a in axes)))
     mean, sd = moments(known, axes)
     share = min(1.0, SAMPLE * n_parts / max(1, sizes["n"]))
     seen = known.filter(F.pmod(F.xxhash64("tie", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("tie", *axes).toPandas()
@@ -202,5 +202,11 @@ def pack(docs: DataFrame, length: int = 2048, vocab: str | None = None, end_id:
     return ordered.mapInArrow(fill, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
+def packed_digest(docs: DataFrame) -> DataFrame:
+    """`digest` of all pieces as a table; the encoded documents are deleted."""
+    with cluster.Scratch(docs.sparkSession) as scratch:
+        return cluster.materialize(digest(pack(docs, scratch=scratch)))
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

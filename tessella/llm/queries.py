@@ -29,7 +29,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(_documents(spark, sf_dir)))
+    return packing.packed_digest(_documents(spark, sf_dir))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{cluster.scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_token_file(_documents(spark, sf_dir), path)
-    return token_files.read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    out = cluster.materialize(token_files.read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    cluster.delete(spark, path)
+    return out
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted across the corpus.
 
-Documents are dealt into units by a hash of id and text. A unit hashes all its windows and sends each owner (a range of the
+Documents are dealt into units by a hash of id and text; rows equal in both travel as one with their number, from each batch. A unit hashes all its windows and sends each owner (a range of the
 hash space) its distinct hashes, sorted, with the smallest id that holds each; an owner answers with one bit per hash: does
 a smaller id hold it elsewhere? With that bit a unit decides all its windows, merges the repeated ones into maximal removal
 intervals and cuts the texts. What travels is about 9 bytes a distinct window, and the hash of a passage that a third of
@@ -126,7 +126,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     n_units = owners = cluster.units(spark, total, max(UNIT_BYTES, int((total * MESSAGE_BYTES) ** 0.5)))
     deal = lambda df, key: df.repartition(cluster.tasks(spark, n_units), key).groupBy(key)
     unknown = rows.filter("doc_id is null")
-    dealt = deal(rows.filter("doc_id is not null").withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_units)).cast("int")), "unit")
+    one = rows.filter("doc_id is not null").mapInArrow(_once, "doc_id long, text string, times long")
+    dealt = deal(one.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_units)).cast("int")), "unit")
 
     def distinct(table: pa.Table, made: list[_Block]):
         ids = column(table, "doc_id").to_numpy()
@@ -177,11 +178,21 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
             for b in _windows(batch, window):
                 yield from _cut(batch, b, np.zeros(len(b.at), bool), window).combine_chunks().to_batches()
 
-    schema = "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>"
+    schema = "doc_id long, times long, n_words long, n_removed long, kept_text string, removed array<long>"
     blobs = dealt.applyInArrow(send, "owner int, unit int, blob binary")
     replies = deal(blobs, "owner").applyInArrow(answer, "unit int, owner int, bitmap binary")
     done = dealt.cogroup(deal(replies, "unit")).applyInArrow(cut_out, schema)
-    return done.unionByName(unknown.mapInArrow(whole, schema))
+    every = done.unionByName(unknown.withColumn("times", F.lit(1).cast("long")).mapInArrow(whole, schema))
+    return every.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
+
+
+def _once(batches):
+    """Rows of a batch that are equal in id and text as one with their number, so that a row which is a third of the table stays small in its unit."""
+    for batch in small(batches):
+        text, ids = column(batch, "text").dictionary_encode(), column(batch, "doc_id")
+        _, which = np.unique(ids.to_numpy(), return_inverse=True)
+        _, first, times = np.unique(which * max(1, len(text.dictionary)) + text.indices.to_numpy(), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(first)), "text": column(batch, "text").take(pa.array(first)), "times": pa.array(times, pa.int64())})
 
 
 def _cut(table: pa.Table | pa.RecordBatch, block: _Block, gone: np.ndarray, window: int) -> pa.Table:
@@ -204,6 +215,7 @@ def _cut(table: pa.Table | pa.RecordBatch, block: _Block, gone: np.ndarray, wind
     return pa.table(
         {
             "doc_id": column(table, "doc_id").slice(block.first, len(w.counts)),
+            "times": column(table, "times").slice(block.first, len(w.counts)),
             "n_words": pa.array(w.counts, pa.int64()),
             "n_removed": pa.array(np.bincount(docs_of[lost], minlength=len(w.counts)), pa.int64()),
             "kept_text": strings(data, off),

@@ -1,10 +1,13 @@
 """Dedup drops rows, not ids: repeated ids with other texts, repeated rows, null ids and clashing columns, against brute force."""
 
+import os
 import random
 
 import pytest
 
-from tessella.llm import cluster, exact_dedup, near_dup, simhash
+from pyspark.sql import functions as F
+
+from tessella.llm import cluster, divergence, exact_dedup, near_dup, packing, simhash
 
 from .test_simhash import brute_components, brute_print
 
@@ -72,3 +75,26 @@ def test_scratch_folder_must_be_named_on_a_cluster():
         cluster.scratch_dir(Session())
     Session.sparkContext.master = "local[4]"
     assert "app" in cluster.scratch_dir(Session())
+
+
+def test_scratch_holds_what_is_read_alone(spark):
+    """After each operator only its result is left in the scratch folder; release takes that as well, but not what is still read."""
+    root = cluster.scratch_dir(spark)
+    cluster.release(spark)
+    df = spark.createDataFrame([(i, f"some words here {i // 2} a b c d", "en") for i in range(40)], "doc_id long, text string, lang string")
+    names = lambda: {p for p in os.listdir(root) if p.startswith(("table-", "work-", "tokens-"))} if os.path.isdir(root) else set()
+    before = names()
+    for f in (exact_dedup.exact_dedup, simhash.simhash_dedup, near_dup.near_dedup, packing.packed_digest, divergence.divergence):
+        out = f(df.withColumn("source", F.lit("s")))
+        assert len(names() - before) == 1, f
+        assert out.count() >= 0
+        cluster.release(spark, keep=out)
+        assert out.count() >= 0 and len(names() - before) == 1
+        cluster.release(spark)
+        assert names() == before
+    kept = exact_dedup.drop_copies(df)
+    assert kept.count() == 20
+    last = cluster.materialize(kept)
+    cluster.release(spark, keep=last)
+    assert len(names() - before) == 1 and last.count() == 20
+    cluster.release(spark)

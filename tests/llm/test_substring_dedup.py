@@ -79,3 +79,11 @@ def test_matches_plain(spark, monkeypatch):
     assert sd.digest(sd.substring_dedup(df.limit(0))).collect() == []
     by = {r.doc_id: r.kept_sha256 for r in sd.digest(sd.substring_dedup(df)).filter("doc_id = 905").collect()}
     assert by[905] == hashlib.sha256(b"").hexdigest()
+
+
+def test_many_equal_rows(spark):
+    """A hundred thousand rows equal in id and text, and others that share a passage with them."""
+    text = " ".join(f"w{k}" for k in range(20))
+    df = spark.range(100_000).selectExpr("7L as doc_id", f"'{text}' as text").union(spark.createDataFrame([(8, "x " + text), (3, text[:40])], "doc_id long, text string"))
+    got = sd.substring_dedup(df).groupBy("doc_id", "n_words", "n_removed", "kept_text").count().collect()
+    assert sorted(tuple(r) for r in got) == [(3, len(text[:40].split()), 0, text[:40].strip(), 1), (7, 20, 0, text, 100_000), (8, 21, 20, "x", 1)]

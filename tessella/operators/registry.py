@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import across, cells, rolling
+from . import grouped
 
 NUMERIC = frozenset({"numeric", "weight", "port_return"})
 TAGS = NUMERIC | {"group", "boolean", "broadcast", "object"}
@@ -26,6 +27,7 @@ class Operator:
     masked: bool = True
     aggregate: Callable | None = None  # one value a date: an aggregate expression
     window: bool = False
+    grouped: str | None = None  # by "symbol" or "date": function is one of Arrow batches
 
     def check(self, tags: list[str], params: dict) -> None:
         if len(tags) != len(self.inputs):
@@ -50,6 +52,15 @@ def register_operator(name: str, function: Callable[..., Column], inputs: tuple,
     return REGISTRY[name]
 
 
+def register_grouped(name: str, function: Callable, inputs: tuple, by: str = "symbol", result: str = "numeric", category: str = "custom", **more) -> Operator:
+    """Adds an operator whose function gets the Arrow batches of each symbol in order of time (or of each date); see grouped."""
+    if by not in grouped.ORDER:
+        raise ValueError(f"{name}: groups are by {' or '.join(grouped.ORDER)}, not {by}")
+    if result not in grouped.KINDS:
+        raise ValueError(f"{name}: no result {result}")
+    return register_operator(name, function, inputs, result, category, grouped=by, **more)
+
+
 def list_operators() -> list[str]:
     return sorted(f"{o.name} ({o.category})" for o in REGISTRY.values())
 
@@ -110,3 +121,13 @@ register_operator("if_else", cells.if_else, ("boolean", ANY, ANY), "numeric", "c
 register_operator("map_values", cells.map_values, (ANY,), "object", "transformation")
 register_operator("composite_group", cells.composite_group, (ANY, ANY), "group", "transformation")
 register_operator("assign", cells.assign, (ANY, ANY), "object", "transformation")
+
+register_operator("trade_when", rolling.trade_when, (ANY, NUMERIC, ANY), "numeric", "timeseries")
+register_operator("jump_decay", rolling.jump_decay, (NUMERIC,), "numeric", "timeseries", window=True)
+register_grouped("hump", grouped.fold(grouped.humped), (NUMERIC,), category="timeseries")
+register_grouped("ts_decay", grouped.fold(grouped.decayed), (NUMERIC,), category="timeseries")
+register_grouped("ts_delta_limit", grouped.fold(grouped.delta_limited), (NUMERIC, NUMERIC), category="timeseries")
+for _name in ("kth_element", "ts_backfill", "last_diff_value"):
+    register_operator(_name, getattr(rolling, _name), (NUMERIC,), "numeric", "timeseries", window=True)
+register_operator("days_from_last_change", rolling.days_from_last_change, (NUMERIC,), "numeric", "timeseries")
+register_operator("ts_regression", rolling.ts_regression, (NUMERIC, NUMERIC), "numeric", "timeseries", window=True)

@@ -30,9 +30,9 @@ class Step:
 class Panel:
     __hash__ = None  # == gives a panel
 
-    def __init__(self, session: Session, name: str | None, tag: str, step: int, expr: str, spec: dict, cache: list[Step] | None = None, cached: bool = False, aggregate: Column | None = None):
+    def __init__(self, session: Session, name: str | None, tag: str, step: int, expr: str, spec: dict, cache: list[Step] | None = None, cached: bool = False, aggregate: Column | None = None, inputs: list[Panel] | None = None):
         self.session, self.name, self.tag, self.step, self.expr, self.spec = session, name, tag, step, expr, spec
-        self.cache, self.cached, self._aggregate = cache or [], cached, aggregate
+        self.cache, self.cached, self._aggregate, self.inputs = cache or [], cached, aggregate, inputs or []
         self._kept: DataFrame | None = None
 
     def on_grid(self) -> Column:
@@ -52,8 +52,8 @@ class Panel:
 
     def _df(self) -> DataFrame:
         if self._aggregate is not None:
-            return self.session.frame().groupBy("date").agg(cells.clean(self._aggregate).alias("value"))
-        return self.session.frame().select("date", "symbol", F.col(self.name).alias("value"))
+            return self.session.frame(self).groupBy("date").agg(cells.clean(self._aggregate).alias("value"))
+        return self.session.frame(self).select("date", "symbol", F.col(self.name).alias("value"))
 
     def to_wide_df(self, symbols: list) -> DataFrame:
         """A row a date and a column for each of these symbols, as a Spark frame to write or to go on with."""
@@ -74,8 +74,25 @@ class Panel:
         return sorted({c.step for c in self.cache} | ({self.step} if self.cached else set()))
 
     def to_json(self) -> str:
+        """The spec as text; weights of a scaler without a name cannot be said."""
+        if any(p.spec.get("op") == "weights" and not p.spec["params"].get("scaler") for p in self.walk()):
+            raise ValueError("a scaler without a name has no place in JSON")
         return json.dumps(self.spec)
 
+    def walk(self) -> list[Panel]:
+        """The panels of this one's expression, inputs before what is made of them, each once; the last is this one."""
+        out: list[Panel] = []
+        stack: list[tuple[Panel, bool]] = [(self, False)]
+        while stack:
+            p, ready = stack.pop()
+            if any(p is q for q in out):
+                continue
+            if ready:
+                out.append(p)
+            else:
+                stack += [(p, True), *[(q, False) for q in reversed(p.inputs)]]
+        return out
+
     def __repr__(self) -> str:
         return f"Panel({self.expr}: {self.tag}, step {self.step})"
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,18 @@ SCALERS = {
 }
 
 
+@dataclass(frozen=True)
+class Scaler:
+    """A function of a column with its parameters, and its name if it is one of SCALERS: only then can a spec say it."""
+
+    name: str | None
+    function: Callable[..., Column]
+    params: dict
+
+    def __call__(self, x: Column) -> Column:
+        return self.function(x, **self.params)
+
+
 def list_scalers() -> list[str]:
     return sorted(SCALERS)
 

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, rolling
+from ..operators.grouped import KINDS, grouped_column
 from ..operators.registry import NUMERIC, REGISTRY, Operator
 from ..sources.catalog import Catalog
 from ..sources.fields import load_rows, source_of
-from . import portfolio
+from . import portfolio, turnover
 from .grid import calendar, grid
 from .panel import Panel, Step
 from .steps import Steps
@@ -56,7 +57,7 @@ class Session:
             self._cells = known = universe.select("date", "symbol", F.coalesce(F.col("in_universe").cast("boolean"), F.lit(True)).alias("in_universe")).filter("date is not null and symbol is not null")
         self._dates = calendar(known)
         self._symbols = known.select("symbol").distinct()
-        self._steps: list[tuple[str, Column]] = []  # columns added so far, in order
+        self._steps: list[tuple[str, Column | Callable[[DataFrame], DataFrame]]] = []  # columns added so far, or what adds them to the frame, in order
         self._fixed: tuple[DataFrame, int] | None = None
         self._fixed_sources: list[str] = []
         self._built: tuple[int, int, DataFrame] | None = None
@@ -108,8 +109,11 @@ class Session:
         kept = ["date", "symbol", "t", *(["in_universe"] if member else []), *[f"_f_{n}" for n in names]]
         return df.filter("t is not null").select(*kept)
 
-    def frame(self) -> DataFrame:
-        """The frame with all fields and columns so far."""
+    def frame(self, panel: Panel | None = None) -> DataFrame:
+        """The frame with all fields and columns so far. With a panel, and where functions of batches add columns (which Catalyst cannot prune), with what
+        the panel is made of alone."""
+        if panel is not None and any(not isinstance(e, Column) for _, e in self._steps):
+            return self._frame_of(panel)
         if self._built is None or self._built[0] != len(self._sources):
             late = [n for n in self._sources if n not in self._fixed_sources]
             if self._fixed is None:
@@ -121,10 +125,24 @@ class Session:
             self._built = (len(self._sources), done, df)
         n, done, df = self._built
         for name, e in self._steps[done:]:
-            df = df.withColumn(name, e)
+            df = df.withColumn(name, e) if isinstance(e, Column) else e(df)
         self._built = (n, len(self._steps), df)
         return df
 
+    def _frame_of(self, panel: Panel) -> DataFrame:
+        made = panel.walk()
+        names, fields = {p.name for p in made}, [p.spec["field"] for p in made if "field" in p.spec]
+        if self._fixed is None:
+            df, done = self._read(list(dict.fromkeys([*self._sources[:1], *fields])), True), 0
+        else:
+            df, done = self._fixed
+            late = [n for n in dict.fromkeys(fields) if n not in self._fixed_sources]
+            df = df.join(self._read(late, False).drop("t"), ["date", "symbol"], "left") if late else df
+        for name, e in self._steps[done:]:
+            if name in names:
+                df = df.withColumn(name, e) if isinstance(e, Column) else e(df)
+        return df
+
     def _name(self) -> str:
         self._names += 1
         return f"c{self._names}"
@@ -134,6 +152,14 @@ class Session:
         self._steps.append((name, F.when(F.col("in_universe"), e) if masked else e))
         return name
 
+    def grouped(self, op: Operator, columns: list[Column], params: dict, result: str) -> str:
+        """A column that a grouped operator's function adds to the frame."""
+        name = self._name()
+        value = F.col(name) if result != "numeric" else _clean(F.col(name), result)
+        masked = F.when(F.col("in_universe"), value) if op.masked else value
+        self._steps.append((name, lambda df: grouped_column(df, name, op.function, op.grouped, columns, params, KINDS[result]).withColumn(name, masked)))
+        return name
+
     def persist(self) -> Session:
         """Keeps the frame as it is, so that results share what they have in common, until `release`."""
         df = self.frame().persist()
@@ -203,9 +229,11 @@ class Session:
         step = max((p.step for p in panels), default=-1) + 1
         cache = [c for p in panels for c in p.cache] + [Step(p.step, p.expr, p) for p in panels if p.cached]
         if op.aggregate:
-            return Panel(self, None, "broadcast", step, text, spec, cache, record, aggregate=op.aggregate(columns[0]))
+            return Panel(self, None, "broadcast", step, text, spec, cache, record, aggregate=op.aggregate(columns[0]), inputs=panels)
+        if op.grouped:
+            return Panel(self, self.grouped(op, columns, params, result), result, step, text, spec, cache, record, inputs=panels)
         e = op.function(*columns, **params, **({"tags": tags} if op.takes_tags else {}))
-        return Panel(self, self.column(_clean(e, result), op.masked), result, step, text, spec, cache, record)
+        return Panel(self, self.column(_clean(e, result), op.masked), result, step, text, spec, cache, record, inputs=panels)
 
     def binary(self, name: str, a, b) -> Panel:
         """Dunder arithmetic and comparison: keeps the type of the side that is no broadcast; masked like every operator."""
@@ -218,7 +246,20 @@ class Session:
         e = op.function(*[p.on_grid() for p in panels])
         tag = "boolean" if op.result == "boolean" else kept
         cache = [c for p in panels for c in p.cache] + [Step(p.step, p.expr, p) for p in panels if p.cached]
-        return Panel(self, self.column(_clean(e, tag)), tag, max(p.step for p in panels) + 1, f"{name}({', '.join(p.expr for p in panels)})", {"op": name, "args": [p.spec for p in panels], "params": {}, "form": "symbol"}, cache)
+        return Panel(self, self.column(_clean(e, tag)), tag, max(p.step for p in panels) + 1, f"{name}({', '.join(p.expr for p in panels)})", {"op": name, "args": [p.spec for p in panels], "params": {}, "form": "symbol"}, cache, inputs=panels)
+
+    def ts_target_tvr_decay(self, x: Panel, lambda_min: float = 0.0, lambda_max: float = 1.0, target_tvr: float = 0.1, **search) -> Panel:
+        """ts_decay with the weight of the range that brings x nearest to the target turnover; a job a round is run at once."""
+        given = [x.on_grid()]
+        weight, _ = turnover.search(self.frame(x), given, "ts_decay", lambda_min, lambda_max, target_tvr, **search)
+        return self.ops.ts_decay(x, weight=weight)
+
+    def ts_target_tvr_delta_limit(self, x: Panel, y, lambda_min: float = 0.0, lambda_max: float = 1.0, target_tvr: float = 0.1, **search) -> Panel:
+        """ts_delta_limit by y with the weight of the range that brings x nearest to the target turnover."""
+        y = y if isinstance(y, Panel) else self.constant(y)
+        both = self.ops.ts_delta_limit(x, y)  # stands for what the two are made of
+        weight, _ = turnover.search(self.frame(both), [x.on_grid(), y.on_grid()], "ts_delta_limit", lambda_min, lambda_max, target_tvr, **search)
+        return self.ops.ts_delta_limit(x, y, weight=weight)
 
     # ---- universe ----
 
@@ -236,7 +277,8 @@ class Session:
         """A session over the cells of this universe where member is true; it keeps source and scaler."""
         if member.tag != "boolean":
             raise TypeError(f"a universe is boolean, not {member.tag}")
-        inside = self.frame().select("date", "symbol", (F.col("in_universe") & F.coalesce(member.on_grid(), F.lit(False))).alias("in_universe"))
+        keep = F.coalesce(member.on_grid(), F.lit(False))
+        inside = self.frame(member).select("date", "symbol", (F.col("in_universe") & keep).alias("in_universe"))
         out = Session(self.catalog, inside, self.start, self.end, self.returns_field, self.buffer_days)
         out._scaler = self._scaler
         return out
@@ -253,13 +295,13 @@ class Session:
     # ---- portfolio ----
 
     @staticmethod
-    def scaler_of(scaler: str | Callable, **params) -> Callable[[Column], Column]:
+    def scaler_of(scaler: str | Callable, **params) -> portfolio.Scaler:
         """A name of portfolio.SCALERS, or a function of a column; parameters go to it."""
-        if isinstance(scaler, str):
-            if scaler not in portfolio.SCALERS:
-                raise KeyError(f"no scaler {scaler}; there are {', '.join(sorted(portfolio.SCALERS))}")
-            scaler = portfolio.SCALERS[scaler]
-        return lambda x: scaler(x, **params)
+        if isinstance(scaler, portfolio.Scaler):
+            return scaler
+        if isinstance(scaler, str) and scaler not in portfolio.SCALERS:
+            raise KeyError(f"no scaler {scaler}; there are {', '.join(sorted(portfolio.SCALERS))}")
+        return portfolio.Scaler(scaler if isinstance(scaler, str) else None, portfolio.SCALERS[scaler] if isinstance(scaler, str) else scaler, params)
 
     def set_scaler(self, scaler: str | Callable, **params) -> Session:
         self._scaler = self.scaler_of(scaler, **params)
@@ -272,7 +314,9 @@ class Session:
     def weigh(self, signal: Panel, scaler: Callable[[Column], Column] | None) -> Panel:
         if scaler is None:
             raise RuntimeError("no scaler is set")
-        return Panel(self, self.column(cells.clean(scaler(signal.on_grid())), masked=False), "weight", signal.step + 1, f"weights({signal.expr})", {"op": "weights", "args": [signal.spec], "params": {}}, list(signal.cache))
+        scaler = self.scaler_of(scaler)
+        spec = {"op": "weights", "args": [signal.spec], "params": {"scaler": scaler.name, "with": scaler.params}}
+        return Panel(self, self.column(cells.clean(scaler(signal.on_grid())), masked=False), "weight", signal.step + 1, f"weights({signal.expr})", spec, list(signal.cache), inputs=[signal])
 
     def to_weights(self, signal: Panel) -> Panel:
         return self.weigh(signal, self._scaler)
@@ -286,7 +330,7 @@ class Session:
             raise TypeError(f"returns are made of weights, not of {weights.tag}")
         ret = self.field(self.returns_field)
         before = F.when(F.col("in_universe"), rolling.ts_delay(side, 1))
-        return Panel(self, self.column(cells.clean(before * ret.on_grid())), "port_return", weights.step + 1, f"{name}({weights.expr})", {"op": name, "args": [weights.spec], "params": {}}, list(weights.cache))
+        return Panel(self, self.column(cells.clean(before * ret.on_grid())), "port_return", weights.step + 1, f"{name}({weights.expr})", {"op": name, "args": [weights.spec], "params": {}}, list(weights.cache), inputs=[weights])
 
     def to_portfolio_returns(self, weights: Panel) -> Panel:
         """Yesterday's weight times today's return, where the symbol is in the universe today."""
@@ -312,7 +356,12 @@ class Session:
         if "const" in spec:
             return self.constant(spec["const"])
         args = [self.evaluate(a) for a in spec["args"]]
-        special = {"weights": self.to_weights, "returns": self.to_portfolio_returns, "long_returns": self.to_long_returns, "short_returns": self.to_short_returns}
+        if spec["op"] == "weights":
+            said = spec["params"]
+            if said and not said.get("scaler"):
+                raise ValueError("these weights were made by a scaler without a name")
+            return self.weigh(args[0], self.scaler_of(said["scaler"], **said["with"])) if said else self.to_weights(args[0])  # specs of old say none: the active one
+        special = {"returns": self.to_portfolio_returns, "long_returns": self.to_long_returns, "short_returns": self.to_short_returns}
         if spec["op"] in special:
             return special[spec["op"]](*args)
         if spec["op"] not in REGISTRY:

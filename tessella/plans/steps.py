@@ -12,21 +12,15 @@ from .panel import Panel
 
 
 class Steps:
-    """Steps of a panel's expression in the order of evaluation, inputs before what is made of them; the last is the panel itself."""
+    """Steps of a panel's expression in the order of evaluation, inputs before what is made of them; the last is the panel itself. They are the
+    panels that it was made of: nothing is evaluated again. Weights and returns among them count as they are; signals are weighed."""
 
     def __init__(self, session, panel: Panel, scaler: str | Callable | None = None, **params):
         self.session, self.panel = session, panel
-        self.signals: list[Panel] = []
-        self._walk(panel.spec)
+        self.signals: list[Panel] = [p for p in panel.walk() if "const" not in p.spec]
         # a session of its own scaler, over the same frame
         self._scaler = session._scaler if scaler is None else session.scaler_of(scaler, **params)
 
-    def _walk(self, spec: dict) -> None:
-        for a in spec.get("args", []):
-            if "const" not in a:
-                self._walk(a)
-        self.signals.append(self.session.evaluate(spec))
-
     def __len__(self) -> int:
         return len(self.signals)
 
@@ -34,11 +28,15 @@ class Steps:
         return self.signals[step]
 
     def weights(self, step: int) -> Panel | None:
-        """None of a step that is no number."""
+        """None of a step that is no number, or a return."""
         s = self.signals[step]
-        return self.session.weigh(s, self._scaler) if s.tag in NUMERIC else None
+        if s.tag == "weight":
+            return s
+        return self.session.weigh(s, self._scaler) if s.tag in NUMERIC and s.tag != "port_return" else None
 
     def returns(self, step: int) -> Panel | None:
+        if self.signals[step].tag == "port_return":
+            return self.signals[step]
         w = self.weights(step)
         return None if w is None else self.session.to_portfolio_returns(w)
 

@@ -6,11 +6,15 @@ universe are the observed cells but for some users on some days. The panel ship
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.registry import NUMERIC, REGISTRY, register_grouped
 from .plans.panel import Panel
 from .plans.portfolio import additive_drawdown, cumulative_pnl, metrics
 from .plans.session import Session
@@ -19,6 +23,21 @@ from .sources.catalog import Catalog
 from .sources.fields import load_cells
 
 DIGITS = 6
+
+
+def _trimmed_mean_gap(batches, share: float = 0.1):
+    """Each value less the mean of its date without the least and the greatest tenth: what a column function would need a sort and a second window for."""
+    kept = list(batches)  # a date's symbols
+    x = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in kept])
+    seen = np.sort(x[~np.isnan(x)])
+    cut = int(len(seen) * share)
+    mean = seen[cut : len(seen) - cut].mean() if len(seen) else np.nan
+    for b in kept:
+        yield pa.array(b.column(3).to_numpy(zero_copy_only=False) - mean, from_pandas=True)
+
+
+if "trimmed_mean_gap" not in REGISTRY:
+    register_grouped("trimmed_mean_gap", _trimmed_mean_gap, (NUMERIC,), by="date")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -347,25 +366,26 @@ ORACLES["etl_returns"] = f"{EV} select date, symbol, round(ret, 6) + 0.0 as retu
 def etl_melt_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a wide sheet (item rows, date columns), melted to long rows and items turned into columns."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    wide = events.withColumn("d", F.date_format("ts", "yyyy-MM-dd")).groupBy(F.col("user_id").alias("Symbol"), F.col("event_type").alias("Item")).pivot("d", [f"2024-01-{d:02d}" for d in range(1, 32)])
+    wide = events.withColumn("d", F.date_format("ts", "yyyy-MM-dd")).groupBy(F.col("user_id").alias("Symbol"), F.col("event_type").alias("Item")).pivot("d")
     long = reshape.melt_to_long(wide.agg(F.round(F.sum("value"), 2)), ["Symbol", "Item"]).withColumn("value", F.col("value").cast("double")).filter("value is not null")
-    items = reshape.pivot_items(long, ["date", "Symbol"], items=["click", "view"])
-    return _rounded(reshape.rename_columns(items, {"Symbol": "symbol", "click": "clicks", "view": "views", "absent": "x"}))
+    items = reshape.pivot_items(long.withColumn("Item", F.when(F.col("Item").isin("click", "view"), F.col("Item")).otherwise("other")).groupBy("date", "Symbol", "Item").agg(F.round(F.sum("value"), 2).alias("value")), ["date", "Symbol"], items=["click", "view", "other"])
+    return _rounded(reshape.rename_columns(items, {"Symbol": "symbol", "click": "clicks", "view": "views", "other": "others", "absent": "x"}))
 
 
 QUERIES["etl_melt_pivot"] = etl_melt_pivot
-ORACLES["etl_melt_pivot"] = """select cast(ts as date) as date, user_id as symbol, round(sum(case when event_type = 'click' then value end), 2) as clicks, round(sum(case when event_type = 'view' then value end), 2) as views
-from events where ts >= '2024-01-01' and ts < '2024-02-01' group by 1, 2"""
+ORACLES["etl_melt_pivot"] = """select cast(ts as date) as date, user_id as symbol, round(sum(case when event_type = 'click' then value end), 2) as clicks, round(sum(case when event_type = 'view' then value end), 2) as views,
+round(sum(case when coalesce(event_type, '') not in ('click', 'view') then value end), 2) as others from events group by 1, 2"""
 
 
 def etl_event_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyyMMdd")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
-    return _rounded(reshape.event_flags(events.select(text.alias("event_date"), F.col("user_id").alias("symbol")), start="2024-01-03", end="2024-01-20"))
+    bounds = events.agg(F.min("ts").cast("date").cast("string").alias("first"), F.max("ts").cast("date").cast("string").alias("last")).first()  # the table's own, so that no row is outside
+    return _rounded(reshape.event_flags(events.select(text.alias("event_date"), F.col("user_id").alias("symbol")), start=bounds["first"], end=bounds["last"]))
 
 
 QUERIES["etl_event_flags"] = etl_event_flags
-ORACLES["etl_event_flags"] = "select distinct cast(ts as date) as date, user_id as symbol, 1.0::double as value from events where cast(ts as date) between '2024-01-03' and '2024-01-20'"
+ORACLES["etl_event_flags"] = "select distinct cast(ts as date) as date, user_id as symbol, 1.0::double as value from events where cast(ts as date) between (select min(cast(ts as date)) from events) and (select max(cast(ts as date)) from events)"
 
 
 def etl_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,11 +401,14 @@ def etl_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     wide = events.withColumn("d", F.date_format("ts", "yyyy-MM-dd")).groupBy(F.col("user_id").alias("Symbol"), F.col("event_type").alias("Item")).pivot("d").agg(F.round(F.sum("value"), 2))
     long = reshape.melt_to_long(wide, ["Symbol", "Item"]).withColumn("value", F.col("value").cast("double")).filter("value is not null")
-    return _rounded(reshape.rename_columns(reshape.pivot_items(long, ["date", "Symbol"], items=["click", "error", "purchase", "signup", "view"]), {"Symbol": "symbol"}))
+    items = reshape.pivot_items(long, ["date", "Symbol"])  # whatever items there are
+    names = [c for c in items.columns if c not in ("date", "Symbol")]
+    again = items.unpivot(["date", "Symbol"], names, "item", "value").filter("value is not null")  # a row an item, so that the result's columns do not depend on the table
+    return _rounded(reshape.rename_columns(again, {"Symbol": "symbol"}))
 
 
 QUERIES["etl_sheet"] = etl_sheet
-ORACLES["etl_sheet"] = "select cast(ts as date) as date, user_id as symbol, " + ", ".join(f"round(sum(case when event_type = '{k}' then value end), 2) as {k}" for k in ("click", "error", "purchase", "signup", "view")) + " from events group by 1, 2"
+ORACLES["etl_sheet"] = "select cast(ts as date) as date, user_id as symbol, event_type as item, round(sum(value), 2) as value from events group by 1, 2, 3 having sum(value) is not null"
 
 
 def etl_all_event_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,11 +472,67 @@ ev("spec_labels", "coalesce(g = h, false)", "boolean")(lambda s: _again(s, s("g"
 ev("spec_number_keys", "case sign(x - 50) when 1 then 10.0 when -1 then -10.0 else sign(x - 50)::double end")(lambda s: _again(s, s.ops.map_values(s.ops.sign(s("x") - 50.0), mapping={1.0: 10.0, -1.0: -10.0})))
 _bt("pnl_by_step", lambda s, w, signal: (lambda st: st.with_scaler("DollarNeutral").cumulative_pnl(len(st) - 1))(s.steps(signal, "LongOnly")), "select date, round(sum(pnl) over (order by date), 6) + 0.0 as value from dy")
 
+# ---- state along time, look-back by value, regression ----
+
+_FOLD = """{ev}, o as (select *, row_number() over (partition by symbol order by t) as k from p where u and {given}),
+f as (select symbol, date, k, {start} as v from o where k = 1 union all select o.symbol, o.date, o.k, {step} as v from f join o on o.symbol = f.symbol and o.k = f.k + 1)
+select p.date, p.symbol, round(f.v, 6) + 0.0 as value from p left join f on f.symbol = p.symbol and f.date = p.date"""
+
+
+def _fold(name: str, given: str, step: str, f: Callable):
+    QUERIES[name] = lambda spark, sf_dir: _rounded(f(ev_session(spark, sf_dir)).to_df())
+    ORACLES[name] = "with recursive" + _FOLD.format(ev=EV, given=given, start="x", step=step).lstrip().removeprefix("with")
+
+
+_fold("hump", "x is not null", "case when abs(o.x - f.v) <= 15 then f.v else f.v + 15 * sign(o.x - f.v) end", lambda s: s.ops.hump(s("x"), hump=15.0))
+_fold("ts_decay", "x is not null", "f.v / 3 + o.x * 2 / 3", lambda s: s.ops.ts_decay(s("x"), weight=1 / 3))
+_fold("ts_delta_limit", "x is not null and y is not null", "f.v + least(greatest(o.x - f.v, -0.2 * abs(o.y)), 0.2 * abs(o.y))", lambda s: s.ops.ts_delta_limit(s("x"), s("y"), weight=0.2))
+ev("trade_when", "0")(lambda s: s.ops.trade_when(s("x") > 60.0, s.ops.rank(s("x")), s("y") < 25.0))
+ORACLES["trade_when"] = f"""{EV}, r as (select *, case when u then {_RANK.format(x='x', k='date')} end as r from p),
+e as (select *, case when u and y < 25 then {{'v': null::double}} when u and x > 60 then {{'v': r}} end as e from r)
+select date, symbol, round(case when u then (last_value(e ignore nulls) over (partition by symbol order by t rows between unbounded preceding and current row)).v end, 6) + 0.0 as value from e"""
+ev("jump_decay", "0")(lambda s: s.ops.jump_decay(s("x"), window=8, sensitivity=1.0, force=0.25))
+ORACLES["jump_decay"] = f"""{EV}, d as (select *, lag(x) over wt as b, case when count(x) over w8 >= 5 then stddev_samp(x) over w8 end as sd from p{WINDOWS})
+select date, symbol, round(case when u then case when coalesce(abs(x - b) > sd, false) then b + (x - b) * 0.25 else x end end, 6) + 0.0 as value from d"""
+_LIST = "list({x}) filter ({x} is not null) over {w}"
+ev("kth_element", "0")(lambda s: s.ops.kth_element(s("x"), window=8, k=2, ignore="NAN 0"))
+ORACLES["kth_element"] = f"{EV} select date, symbol, round(case when u then a[len(a) - 1] end, 6) + 0.0 as value from (select *, list(x) filter (x is not null and x <> 0) over w8 as a from p{WINDOWS})"
+ev("ts_backfill", "0")(lambda s: s.ops.ts_backfill(s("x"), window=5))
+ORACLES["ts_backfill"] = f"{EV} select date, symbol, round(case when u then coalesce(x, a[len(a)]) end, 6) + 0.0 as value from (select *, list(x) filter (x is not null) over (partition by symbol order by t rows between 5 preceding and 1 preceding) as a from p)"
+ev("last_diff_value", "0")(lambda s: s.ops.last_diff_value(s.ops.sign(s("x") - 50.0), window=8))
+ORACLES["last_diff_value"] = f"""{EV}, g as (select * exclude (x), sign(x - 50)::double as x from p), l as (select *, list(x) filter (x is not null) over w8 as a from g{WINDOWS})
+select date, symbol, round(case when u then list_filter(a, lambda z: z <> x)[-1] end, 6) + 0.0 as value from l"""
+ev("days_from_last_change", "0")(lambda s: s.ops.days_from_last_change(s.ops.sign(s("x") - 50.0)))
+ORACLES["days_from_last_change"] = f"""{EV}, g as (select * exclude (x), sign(x - 50)::double as x from p),
+b as (select *, last_value(x ignore nulls) over (partition by symbol order by t rows between unbounded preceding and 1 preceding) as b from g),
+hh as (select *, max(case when x is not null and (b is null or x <> b) then t end) over (partition by symbol order by t rows between unbounded preceding and current row) as chg from b)
+select date, symbol, round(case when u and x is not null then (t - chg)::double end, 6) + 0.0 as value from hh"""
+_REG = f"""{EV}, l as (select *, lag(y) over wt as z from p{WINDOWS}),
+m as (select *, case when z is not null then x end as a, case when x is not null then z end as b from l),
+r as (select *, count(a) over w8 as n, avg(a) over w8 as ma, avg(b) over w8 as mb, regr_slope(a, b) over w8 as beta, var_samp(a) over w8 * (count(a) over w8 - 1) as sst, var_samp(b) over w8 * (count(b) over w8 - 1) as sxx, covar_samp(a, b) over w8 as cab from m{WINDOWS}),
+e as (select *, greatest(0, sst - cab * cab / nullif(sxx, 0) * (n - 1) * (n - 1)) as sse from r)
+select date, symbol, round(case when u and n >= 5 then {{}} end, 6) + 0.0 as value from e"""
+for _n, _k, _e in (
+    ("error", 0, "x - (ma + cab * (n - 1) / nullif(sxx, 0) * (z - mb))"), ("alpha", 1, "ma - cab * (n - 1) / nullif(sxx, 0) * mb"), ("beta", 2, "cab * (n - 1) / nullif(sxx, 0)"), ("estimate", 3, "ma + cab * (n - 1) / nullif(sxx, 0) * (z - mb)"),
+    ("sse", 4, "sse"), ("sst", 5, "sst"), ("r2", 6, "1 - sse / nullif(sst, 0)"), ("mse", 7, "sse / (n - 2)"), ("beta_error", 8, "sqrt(sse / (n - 2) / nullif(sxx, 0))"), ("alpha_error", 9, "sqrt(sse / (n - 2) * (1 / n::double + mb * mb / nullif(sxx, 0)))"),
+):
+    ev(f"ts_regression_{_n}", "0")(lambda s, k=_k: s.ops.ts_regression(s("x"), s("y"), window=8, lag=1, rettype=k) / 997.0)  # no result lies on the edge of rounding
+    ORACLES[f"ts_regression_{_n}"] = _REG.format(f"({_e}) / 997")
+
+ev("grouped_by_date", "0")(lambda s: s.ops.trimmed_mean_gap(s("x")))
+ORACLES["grouped_by_date"] = f"""{EV}, r as (select *, row_number() over (partition by date order by x nulls last, symbol) as r, count(x) over (partition by date) as n from p),
+m as (select date, avg(case when x is not null and r > n // 10 and r <= n - n // 10 then x end) as m from r group by date)
+select p.date, p.symbol, round(case when u then x - m end, 6) + 0.0 as value from p join m using (date)"""
+
+# a spec of weights keeps its scaler, whatever the session's is by then
+_bt("spec_weights", lambda s, w, signal: s.set_scaler("LongOnly").evaluate(__import__("json").loads(w.to_json())).to_df(), "select date, symbol, round(w, 6) + 0.0 as value from w")
+_bt("pnl_of_returns", lambda s, w, signal: s.steps(s.to_portfolio_returns(w), "LongOnly").daily_pnl(), "select date, round(pnl, 6) + 0.0 as value from dy")
+
 _DATES = {"ship_monthly": ("month",), "etl_describe": ("first_date", "last_date"), "metrics": (), "etl_typed": (), "etl_value_counts": (), "etl_profile": ()}
 for _n, _sql in ORACLES.items():
     if _dates := _DATES.get(_n, ("date",)):
         ORACLES[_n] = f"select * replace ({', '.join(f'cast({d} as varchar) as {d}' for d in _dates)}) from ({_sql})"
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    return QUERIES["flagship_momentum"](spark, "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    return QUERIES["flagship_momentum"](spark, sf_dir or os.environ.get("TESSELLA_DATA", "/root/testdata/sf0.001"))

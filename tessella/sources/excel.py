@@ -1,7 +1,11 @@
-"""Workbooks (xlsx) as wide tables: each file is read in a task, its header row found by a name that it must hold."""
+"""Workbooks (xlsx) as wide tables: each file is read in a task, its header row found by a name that it must hold.
+
+Cells come as text: numbers as the file has them, cells with a date format as ISO dates (with the time, if there is one), truth as TRUE and FALSE.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
@@ -24,12 +28,42 @@ def _place(ref: str) -> int:
     return n - 1
 
 
+# fixed values: numbers of the built-in formats that show a date
+_BUILT_IN = {*range(14, 18), 22, *range(27, 37), *range(50, 59)}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date: built-in formats, and own ones with a year, month or day outside of quotes and brackets."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")).lower() for f in root.iter(f"{_NS}numFmt")}
+    shows = lambda n: bool(re.search(r"[yd]|m(?!.*:)", own[n])) and "general" not in own[n] if n in own else n in _BUILT_IN
+    styles = root.find(f"{_NS}cellXfs")
+    return {i for i, x in enumerate(styles if styles is not None else []) if shows(int(x.get("numFmtId", 0)))}
+
+
+def _from_1904(z: zipfile.ZipFile) -> bool:
+    if "xl/workbook.xml" not in z.namelist():
+        return False
+    setting = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_NS}workbookPr")
+    return setting is not None and setting.get("date1904", "") in ("1", "true")
+
+
+def serial_date(text: str, from_1904: bool = False) -> str:
+    """A day number as ISO text. Days before March 1900 are one off, as the format counts a 29 February 1900."""
+    days = float(text)
+    at = (dt.datetime(1904, 1, 1) if from_1904 else dt.datetime(1899, 12, 30 if days >= 60 else 31)) + dt.timedelta(seconds=round(days * 86400))
+    return at.date().isoformat() if at.time() == dt.time() else at.isoformat(" ")
+
+
 def sheet_rows(content: bytes, sheet: int = 1) -> Iterator[tuple[int, list[str | None]]]:
     """(row number, cells as text) of a sheet, read as a stream."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
+        dates, from_1904, number = _date_styles(z), _from_1904(z), 0
         with z.open(f"xl/worksheets/sheet{sheet}.xml") as f:
             for _, row in ElementTree.iterparse(f):
                 if row.tag != f"{_NS}row":
@@ -41,9 +75,16 @@ def sheet_rows(content: bytes, sheet: int = 1) -> Iterator[tuple[int, list[str |
                     v = c.find(f"{_NS}v")
                     if c.get("t") == "inlineStr":
                         cells[at] = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+                    elif v is not None and c.get("t") == "s":
+                        cells[at] = shared[int(v.text)]
+                    elif v is not None and c.get("t") == "b":
+                        cells[at] = "TRUE" if v.text == "1" else "FALSE"
+                    elif v is not None and c.get("t", "n") == "n" and int(c.get("s", -1)) in dates:
+                        cells[at] = serial_date(v.text, from_1904)
                     elif v is not None:
-                        cells[at] = shared[int(v.text)] if c.get("t") == "s" else v.text
-                yield int(row.get("r")), cells
+                        cells[at] = v.text
+                number = int(row.get("r")) if row.get("r") else number + 1
+                yield number, cells
                 row.clear()
 
 

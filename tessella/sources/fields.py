@@ -21,6 +21,27 @@ def source_of(f: Field) -> tuple:
     return (f.query, "") if f.query else (f.db_type, f.table), f.index_col, f.security_col
 
 
+def _pruned(rows: DataFrame, start, end, taken: set[str]) -> DataFrame:
+    """rows without the folders year=, month=, day= that lie outside of [start, end]: compared part by part, so that a condition names nothing but them."""
+    parts: list[str] = []
+    for c in ("year", "month", "day"):
+        if c not in rows.columns or c in taken:
+            break
+        parts.append(c)
+    for day, side in ((start, 1), (end, -1)):
+        if day is None or not parts:
+            continue
+        want = [int(x) for x in str(day)[:10].split("-")]
+        first = F.col(parts[0]).cast("int")
+        rows = rows.filter((first >= want[0]) if side > 0 else (first <= want[0]))
+        keep = F.lit(True)
+        for c, w in reversed(list(zip(parts, want, strict=False))):
+            e = F.col(c).cast("int")
+            keep = ((e > w) if side > 0 else (e < w)) | ((e == w) & keep)
+        rows = rows.filter(keep)
+    return rows
+
+
 def load_rows(catalog: Catalog, names: list[str], start: Date | str | None = None, end: Date | str | None = None, buffer_days: int = 0) -> DataFrame:
     """date, symbol and a column per name, as the one source of these fields has them, within [start - buffer_days, end]; unchecked."""
     spark, every = catalog.spark, [catalog.field(n) for n in names]
@@ -33,12 +54,8 @@ def load_rows(catalog: Catalog, names: list[str], start: Date | str | None = Non
         if f.db_type not in READERS:
             raise KeyError(f"no reader {f.db_type}")
         rows = READERS[f.db_type](spark, f)
-        # the layout's year column prunes folders; the date filter is pushed into the files
-        if "year" in rows.columns and "year" not in (f.index_col, *[x.value_col for x in every]):
-            if start is not None:
-                rows = rows.filter(F.col("year").cast("int") >= int(str(start)[:4]))
-            if end is not None:
-                rows = rows.filter(F.col("year").cast("int") <= int(str(end)[:4]))
+        # columns of the layout prune folders; the date filter is pushed into the files
+        rows = _pruned(rows, start, end, {f.index_col, f.security_col, *[x.value_col for x in every]})
     raw = dict(rows.dtypes)
     day = F.col(f.index_col) if raw[f.index_col] == "date" else F.col(f.index_col).cast("date")
     if raw[f.index_col] == "string" and not f.query:  # stored as text in ISO form, where text order is date order: pushed down as text

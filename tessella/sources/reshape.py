@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,12 +10,27 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 
-_DATES = (re.compile(r"\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?"), re.compile(r"\d{8}"), re.compile(r"\d{4}/\d{2}/\d{2}"))
+#: Forms of a date in a column's name: what it looks like, and how it is read.
+_DATES = (
+    (re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?"), (1, 3, 4)),
+    (re.compile(r"(\d{4})(\d{2})(\d{2})"), (1, 2, 3)),
+)
+
+
+def named_date(name: str) -> dt.date | None:
+    """The date that a column's name is: year, month and day with -, / or . between them (a time may follow) or as 8 digits; None of any other, and of a day that there is not."""
+    for form, parts in _DATES:
+        if m := form.fullmatch(name.strip()):
+            try:
+                return dt.date(*[int(m[p]) for p in parts])
+            except ValueError:
+                return None
+    return None
 
 
 def identify_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     """(columns that are dates by name, the others)."""
-    dates = [c for c in df.columns if any(p.fullmatch(c) for p in _DATES)]
+    dates = [c for c in df.columns if named_date(c)]
     return dates, [c for c in df.columns if c not in dates]
 
 
@@ -25,11 +41,16 @@ def parse_date(text: Column) -> Column:
 
 
 def melt_to_long(df: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """A row per id and date column: the ids, date, value."""
+    """A row per id and date column: the ids, date, value. Two columns of one date are an error."""
     dates, rest = identify_columns(df)
     ids = ids or rest
-    typed = df.select(*ids, *[F.col(f"`{c}`").cast("string").alias(c) for c in dates])
-    return typed.unpivot([F.col(c) for c in ids], [F.col(f"`{c}`") for c in dates], "date", "value").withColumn("date", parse_date(F.col("date"))).filter("date is not null")
+    days = [named_date(c).isoformat() for c in dates]
+    if not days:
+        raise ValueError("no column is a date by its name")
+    if len(set(days)) < len(days):
+        raise ValueError("two columns have one date")
+    typed = df.select(*[F.col(f"`{c}`") for c in ids], *[F.col(f"`{c}`").cast("string").alias(d) for c, d in zip(dates, days, strict=True)])
+    return typed.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{d}`") for d in days], "date", "value").withColumn("date", F.col("date").cast("date"))
 
 
 def pivot_items(df: DataFrame, keys: list[str], item: str = "Item", value: str = "value", items: list[str] | None = None) -> DataFrame:
@@ -111,7 +132,8 @@ def value_counts(df: DataFrame, column: str, contains: str | None = None) -> Dat
     rows = df.select(F.col(column).alias("value"))
     rows = rows.filter(F.col("value").cast("string").contains(contains)) if contains is not None else rows
     counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("value", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+    total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return counts.select("value", "n", (F.col("n") / total).alias("share"))
 
 
 def distinct_values(df: DataFrame, *columns: str, limit: int = 20) -> DataFrame:
@@ -120,7 +142,11 @@ def distinct_values(df: DataFrame, *columns: str, limit: int = 20) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """A row per column: name, type, rows, missing, distinct values (exact)."""
-    stats = df.agg(*[F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col(f"`{c}`").isNull().cast("long")).alias("missing"), F.countDistinct(F.col(f"`{c}`")).alias("n_distinct")).alias(f"s{i}") for i, c in enumerate(df.columns)])
-    rows = [F.struct(F.lit(c).alias("name"), F.lit(t).alias("type"), F.col(f"s{i}.n").alias("n"), F.coalesce(F.col(f"s{i}.missing"), F.lit(0)).alias("missing"), F.col(f"s{i}.n_distinct").alias("n_distinct")) for i, (c, t) in enumerate(df.dtypes)]
-    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """A row per column: name, type, rows, missing, distinct values (exact). Each column is counted by itself: its values are grouped, then the groups counted, so no row is multiplied."""
+    out = None
+    for c, t in df.dtypes:
+        each = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        row = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("v").alias("n_distinct"))
+        row = row.select(F.lit(c).alias("name"), F.lit(t).alias("type"), "n", "missing", "n_distinct")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -135,11 +135,11 @@ def test_groups_leave_out_missing_values_and_labels(spark):
 
 
 def test_power_log_divide_sign(spark):
-    s = make(spark, {"a": [[1.0, None, 0.0, 10.0, -8.0]], "b": [[None, 2.0, 5.0, 0.0, 0.5]], "z": [[0.0] * 5]})
-    close(values(s.ops.power(s("a"), s("b"))), [[1.0, None, 0.0, 1.0, None]])
-    close(values(s.ops.log(s("a"))), [[0.0, None, -INF, math.log(10), None]])
-    close(values(s.ops.divide(s("a"), s("z"))), [[INF, None, None, INF, -INF]])
-    close(values(s.ops.sign(s("a"))), [[1.0, None, 0.0, 1.0, -1.0]])
+    s = make(spark, {"a": [[1.0, None, 0.0, 7.0, -3.0, 6.25]], "b": [[None, 3.0, 4.0, 0.0, 1.5, 0.5]], "z": [[0.0] * 6]})
+    close(values(s.ops.power(s("a"), s("b"))), [[1.0, None, 0.0, 1.0, None, 2.5]])
+    close(values(s.ops.log(s("a"))), [[0.0, None, -INF, math.log(7), None, math.log(6.25)]])
+    close(values(s.ops.divide(s("a"), s("z"))), [[INF, None, None, INF, -INF, INF]])
+    close(values(s.ops.sign(s("a"))), [[1.0, None, 0.0, 1.0, -1.0, 1.0]])
 
 
 def test_comparison_and_logic_of_missing(spark):
@@ -235,7 +235,7 @@ def test_lineage_and_json(spark):
 
 
 def test_scalers_and_backtest(spark):
-    ret = [[0.01, 0.02, -0.01], [0.02, -0.01, 0.03], [-0.01, 0.03, 0.02]]
+    ret = [[0.5, 0.25, 0.125], [0.04, -0.07, 0.09], [-0.06, 0.11, 0.08]]
     x = [[1.0, 2.0, 3.0], [3.0, None, 1.0], [2.0, 2.0, 2.0]]
     s = make(spark, {"x": x, "returns": ret}, universe=[[True] * 3, [True, True, False], [True] * 3])
     with pytest.raises(RuntimeError):
@@ -245,10 +245,10 @@ def test_scalers_and_backtest(spark):
     w = s.set_scaler("DollarNeutral").to_weights(s("x"))
     close(values(w), [[-1.0, 0.0, 1.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
     r = s.to_portfolio_returns(w)
-    close(values(r), [[None] * 3, [-0.02, 0.0, None], [0.0, 0.0, 0.0]])
+    close(values(r), [[None] * 3, [-0.04, 0.0, None], [0.0, 0.0, 0.0]])
     close(values(s.to_long_returns(w))[1], [0.0, 0.0, None])
-    close(values(s.to_short_returns(w))[1], [-0.02, 0.0, None])
-    close([row.value for row in s.daily_pnl(r).orderBy("date").collect()], [0.0, -0.02, 0.0])
+    close(values(s.to_short_returns(w))[1], [-0.04, 0.0, None])
+    close([row.value for row in s.daily_pnl(r).orderBy("date").collect()], [0.0, -0.04, 0.0])
     with pytest.raises(TypeError):
         s.to_portfolio_returns(s("x"))
     close(values(s.set_scaler("LongOnly", target_gross=2.0).to_weights(s("x")))[0], [1 / 3, 2 / 3, 1.0])

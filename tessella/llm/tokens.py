@@ -182,6 +182,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Frees the worker's encoders and the words they remember; for work of another kind that needs the memory."""
+    _ENCODERS.clear()
+
+
 def with_end(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the id `end` after each text."""
     bounds = at + np.arange(len(at))

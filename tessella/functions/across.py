@@ -101,3 +101,44 @@ def group_scale_positive(x: Column, g: Column) -> Column:
     """Share of the group's sum; a negative value anywhere, with a label or without, is an error."""
     share = x / F.nullif(F.sum(x).over(peers(g)), F.lit(0.0))
     return F.when(x < 0, F.raise_error(F.lit("group_scale_positive: negative value"))).when(g.isNotNull(), share)
+
+
+def vector_neut(x: Column, y: Column) -> Column:
+    """x less its projection on y by date, over cells that have both; x where y is zero everywhere."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return a - F.coalesce(b * F.sum(a * b).over(day()) / F.nullif(F.sum(b * b).over(day()), F.lit(0.0)), F.lit(0.0))
+
+
+def hard_cap(w: Column, limit: float) -> Column:
+    """Weights of at most `limit` in size; what is cut off is lost."""
+    return F.when(F.abs(w) > limit, F.signum(w) * limit).otherwise(w)
+
+
+def fill_share(w: Column, limit: float) -> Column:
+    """Of each position, by date and side in order of size: its place, and what the rest would be scaled by if all larger ones were capped, where that keeps it within the limit."""
+    size = F.abs(w)
+    side = Window.partitionBy("date", F.signum(w))
+    order = side.orderBy(size.desc_nulls_last())
+    rank = F.row_number().over(order)
+    rest = F.sum(size).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    scale = (F.sum(size).over(side) - (rank - 1) * limit) / F.nullif(rest, F.lit(0.0))
+    return F.when(scale * size <= limit * (1 + 1e-12), F.struct(rank.alias("i"), scale.alias("f")))
+
+
+def filled(w: Column, share: Column, limit: float) -> Column:
+    """Weights of at most `limit`: the first share of fill_share scales its side, and larger positions are capped; all of them where there is none."""
+    f = F.min(share).over(Window.partitionBy("date", F.signum(w)))["f"]
+    return F.when(w.isNotNull(), F.signum(w) * F.least(F.lit(limit), F.coalesce(f * F.abs(w), F.lit(limit)))) if limit > 0 else w * 0.0
+
+
+def within_net(w: Column, net: float) -> Column:
+    """Weights whose sum by date is within +- net: the larger side is scaled down to it."""
+    up = F.coalesce(F.sum(F.when(w > 0, w)).over(day()), F.lit(0.0))
+    down = F.coalesce(-F.sum(F.when(w < 0, w)).over(day()), F.lit(0.0))
+    return F.when((w > 0) & (up - down > net), w * (down + net) / F.nullif(up, F.lit(0.0))).when((w < 0) & (down - up > net), w * (up + net) / F.nullif(down, F.lit(0.0))).otherwise(w)
+
+
+def within_gross(w: Column, gross: float) -> Column:
+    """Weights whose sum of sizes by date is at most gross: all are scaled."""
+    total = F.sum(F.abs(w)).over(day())
+    return F.when(total > gross, w * gross / total).otherwise(w)

@@ -131,3 +131,9 @@ for _name in ("kth_element", "ts_backfill", "last_diff_value"):
     register_operator(_name, getattr(rolling, _name), (NUMERIC,), "numeric", "timeseries", window=True)
 register_operator("days_from_last_change", rolling.days_from_last_change, (NUMERIC,), "numeric", "timeseries")
 register_operator("ts_regression", rolling.ts_regression, (NUMERIC, NUMERIC), "numeric", "timeseries", window=True)
+register_grouped("group_backfill", grouped.by_day(grouped.backfilled), (NUMERIC, "group"), by="label", category="group")
+register_operator("vector_neut", across.vector_neut, (NUMERIC, NUMERIC), "numeric", "crosssection")
+for _name in ("hard_cap", "within_net", "within_gross"):
+    register_operator(_name, getattr(across, _name), (NUMERIC,), "weight", "portfolio")
+register_operator("fill_share", across.fill_share, (NUMERIC,), "object", "portfolio")
+register_operator("filled", across.filled, (NUMERIC, "object"), "weight", "portfolio")

@@ -20,7 +20,8 @@ from ..operators.grouped import KINDS, grouped_column
 from ..operators.registry import NUMERIC, REGISTRY, Operator
 from ..sources.catalog import Catalog
 from ..sources.fields import load_rows, source_of
-from . import portfolio, turnover
+from . import ic, ledger, portfolio, turnover
+from .factors import by_date, residual
 from .grid import calendar, grid
 from .panel import Panel, Step
 from .steps import Steps
@@ -248,6 +249,45 @@ class Session:
         cache = [c for p in panels for c in p.cache] + [Step(p.step, p.expr, p) for p in panels if p.cached]
         return Panel(self, self.column(_clean(e, tag)), tag, max(p.step for p in panels) + 1, f"{name}({', '.join(p.expr for p in panels)})", {"op": name, "args": [p.spec for p in panels], "params": {}, "form": "symbol"}, cache, inputs=panels)
 
+    def _together(self, *panels: Panel) -> DataFrame:
+        """The frame with what these panels are made of."""
+        for p in panels:
+            p.on_grid()
+        return self.frame(Panel(self, None, "object", 0, "", {}, inputs=list(panels)))
+
+    def factor_regression(self, y: Panel, factors: list[Panel], intercept: bool = True) -> tuple[DataFrame, Panel]:
+        """By date: n, rank, alpha, betas, r2 of y on the factors; and the residuals as a panel."""
+        solved = by_date(self._together(y, *factors), y.on_grid(), [f.on_grid() for f in factors], intercept)
+        name, given = self._name(), [f.on_grid() for f in factors]
+        self._steps.append((name, lambda df: residual(df, solved, name, y.on_grid(), given)))
+        spec = {"op": "factor_residual", "args": [y.spec, *[f.spec for f in factors]], "params": {"intercept": intercept}}
+        text = f"factor_residual({', '.join(p.expr for p in (y, *factors))}, intercept={intercept!r})"
+        return solved, Panel(self, name, "numeric", max(p.step for p in (y, *factors)) + 1, text, spec, inputs=[y, *factors])
+
+    def cap_positions(self, weights: Panel, limit: float, trim: str = "proportional") -> Panel:
+        """Weights of at most `limit` in size; proportional: what is cut off goes to the uncapped of the same side as far as their caps allow; hard: it is lost."""
+        if trim not in ("proportional", "hard"):
+            raise ValueError(f"no trim {trim}")
+        if trim == "hard":
+            return self.ops.hard_cap(weights, limit=limit)
+        return self.ops.filled(weights, self.ops.fill_share(weights, limit=limit), limit=limit)
+
+    def limit_leverage(self, weights: Panel, gross: float | None = None, net: float | None = None) -> Panel:
+        """Weights within +- net in sum, then within gross in size."""
+        out = weights if net is None else self.ops.within_net(weights, net=net)
+        return out if gross is None else self.ops.within_gross(out, gross=gross)
+
+    def ledger(self, weights: dict[str, Panel] | Panel, price: Panel, volume: Panel | None = None, **more) -> DataFrame:
+        """Shares, cash and costs by day of one strategy or of several by name; see plans.ledger."""
+        weights = weights if isinstance(weights, dict) else {"weights": weights}
+        if any(w.tag != "weight" for w in weights.values()):
+            raise TypeError("a ledger is of weights")
+        frame = self._together(*weights.values(), price, *([volume] if volume is not None else []))
+        return ledger.ledger(frame, {k: w.on_grid() for k, w in weights.items()}, price.on_grid(), volume.on_grid() if volume is not None else None, **more)
+
+    def rank_ic(self, signal: Panel, price: Panel, horizons: list[int]) -> DataFrame:
+        return ic.rank_ic(self._together(signal, price), signal.on_grid(), price.on_grid(), horizons)
+
     def ts_target_tvr_decay(self, x: Panel, lambda_min: float = 0.0, lambda_max: float = 1.0, target_tvr: float = 0.1, **search) -> Panel:
         """ts_decay with the weight of the range that brings x nearest to the target turnover; a job a round is run at once."""
         given = [x.on_grid()]
@@ -361,6 +401,8 @@ class Session:
             if said and not said.get("scaler"):
                 raise ValueError("these weights were made by a scaler without a name")
             return self.weigh(args[0], self.scaler_of(said["scaler"], **said["with"])) if said else self.to_weights(args[0])  # specs of old say none: the active one
+        if spec["op"] == "factor_residual":
+            return self.factor_regression(args[0], args[1:], **spec["params"])[1]
         special = {"returns": self.to_portfolio_returns, "long_returns": self.to_long_returns, "short_returns": self.to_short_returns}
         if spec["op"] in special:
             return special[spec["op"]](*args)

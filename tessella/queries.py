@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.registry import NUMERIC, REGISTRY, register_grouped
+from .plans import ic
+from .plans.ledger import Costs, accounts, positions
 from .plans.panel import Panel
 from .plans.portfolio import additive_drawdown, cumulative_pnl, metrics
 from .plans.session import Session
@@ -519,16 +521,87 @@ for _n, _k, _e in (
     ev(f"ts_regression_{_n}", "0")(lambda s, k=_k: s.ops.ts_regression(s("x"), s("y"), window=8, lag=1, rettype=k) / 997.0)  # no result lies on the edge of rounding
     ORACLES[f"ts_regression_{_n}"] = _REG.format(f"({_e}) / 997")
 
-ev("grouped_by_date", "0")(lambda s: s.ops.trimmed_mean_gap(s("x")))
+ev("grouped_by_date", "0")(lambda s: s.ops.trimmed_mean_gap(s("x")) / 997.0)
 ORACLES["grouped_by_date"] = f"""{EV}, r as (select *, row_number() over (partition by date order by x nulls last, symbol) as r, count(x) over (partition by date) as n from p),
 m as (select date, avg(case when x is not null and r > n // 10 and r <= n - n // 10 then x end) as m from r group by date)
-select p.date, p.symbol, round(case when u then x - m end, 6) + 0.0 as value from p join m using (date)"""
+select p.date, p.symbol, round(case when u then (x - m) / 997 end, 6) + 0.0 as value from p join m using (date)"""
+
+# ---- factors, groups over days, limits, information coefficients ----
+
+ev("vector_neut", "x - y * sum(case when y is not null then x * y end) over wd / nullif(sum(case when x is not null then y * y end) over wd, 0)")(lambda s: s.ops.vector_neut(s("x"), s("y")))
+ev("group_backfill", "0")(lambda s: s.ops.group_backfill(s("x"), s("g"), window=3, std=1.5))
+ORACLES["group_backfill"] = f"""{EV}, k as (select a.g, a.date, v.x from (select distinct g, t, date from p where g is not null) a join p v on v.g = a.g and v.t between a.t - 2 and a.t and v.x is not null
+   and v.t in (select distinct t from p z where z.g = a.g)),
+m as (select g, date, avg(x) as m, coalesce(stddev_samp(x), 0) as sd from k group by all),
+w as (select k.g, k.date, avg(least(greatest(k.x, m - 1.5 * sd), m + 1.5 * sd)) as w from k join m on m.g = k.g and m.date = k.date group by all)
+select p.date, p.symbol, round(case when u and p.g is not null then coalesce(x, w) end, 6) + 0.0 as value from p left join w on w.g = p.g and w.date = p.date"""
+_FACTORS = f"""{EV}, d as (select date, count(*) as n, avg(y) as my, avg(x) as mx, avg(z) as mz, covar_pop(y, x) as xy, covar_pop(y, z) as zy, var_pop(x) as xx, var_pop(z) as zz, covar_pop(x, z) as xz, var_pop(y) as yy
+  from (select date, y, x, (symbol % 11)::double as z from p where u and x is not null and y is not null) group by date),
+b as (select *, (xy * zz - zy * xz) / (xx * zz - xz * xz) as b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) as b2 from d)"""
+
+
+def _of_two(s: Session) -> tuple[DataFrame, Panel]:
+    """y on x and on the symbol's remainder by 11."""
+    code = Panel(s, s.column(F.col("symbol") % 11.0), "numeric", 0, "code", {"const": 0.0})
+    return s.factor_regression(s("y"), [s("x"), code])
+
+
+QUERIES["factor_betas"] = lambda spark, sf_dir: _rounded(_of_two(ev_session(spark, sf_dir))[0].select("date", "n", "alpha", F.get("betas", F.lit(0)).alias("beta_x"), F.get("betas", F.lit(1)).alias("beta_z"), "r2"))
+ORACLES["factor_betas"] = f"{_FACTORS} select date, n, round(my - b1 * mx - b2 * mz, 6) + 0.0 as alpha, round(b1, 6) + 0.0 as beta_x, round(b2, 6) + 0.0 as beta_z, round((b1 * xy + b2 * zy) / yy, 6) + 0.0 as r2 from b"
+ev("factor_residual", "0")(lambda s: _of_two(s)[1])
+ORACLES["factor_residual"] = f"{_FACTORS} select p.date, p.symbol, round(case when u then y - (my - b1 * mx - b2 * mz) - b1 * x - b2 * (symbol % 11) end, 6) + 0.0 as value from p join b using (date)"
+ev("position_limits", "0", masked=False)(lambda s: s.limit_leverage(s.cap_positions(s.set_scaler("DollarNeutral").to_weights(s("x")), limit=0.02), gross=1.7, net=0.1))
+ORACLES["position_limits"] = f"""{EV}, {_GN.format(l=1.0, s=1.0)},
+r as (select date, symbol, u, w, sign(w) as sd, row_number() over o as i, sum(abs(w)) over (partition by date, sign(w)) as total, sum(abs(w)) over (o rows between current row and unbounded following) as rest
+  from (select date, symbol, u, case when u then w end as w from w) window o as (partition by date, sign(w) order by abs(w) desc nulls last)),
+f as (select *, (total - (i - 1) * 0.02) / nullif(rest, 0) as f from r),
+g as (select *, min(case when f * abs(w) <= 0.02 * (1 + 1e-12) then {{'i': i, 'f': f}} end) over (partition by date, sd) as st from f),
+lim as (select date, symbol, case when w is not null then sd * least(0.02, coalesce(st.f * abs(w), 0.02)) end as w from g),
+n as (select *, coalesce(sum(case when w > 0 then w end) over (partition by date), 0) as up, coalesce(-sum(case when w < 0 then w end) over (partition by date), 0) as down from lim),
+q as (select date, symbol, case when w > 0 and up - down > 0.1 then w * (down + 0.1) / up when w < 0 and down - up > 0.1 then w * (up + 0.1) / down else w end as w from n)
+select date, symbol, round(case when sum(abs(w)) over (partition by date) > 1.7 then w * 1.7 / sum(abs(w)) over (partition by date) else w end, 6) + 0.0 as value from q"""
+_IC = f"""{EV}, h as (select *, lead(y, 1) over wt / nullif(y, 0) - 1 as h1, lead(y, 3) over wt / nullif(y, 0) - 1 as h3 from p{WINDOWS}),
+e as (select date, 1 as horizon, x as a, h1 as b from h where u union all select date, 3, x, h3 from h where u),
+k as (select * from e where a is not null and b is not null),
+r as (select date, horizon, rank() over (partition by date, horizon order by a) + (count(*) over (partition by date, horizon, a) - 1) / 2.0 as a, rank() over (partition by date, horizon order by b) + (count(*) over (partition by date, horizon, b) - 1) / 2.0 as b from k),
+i as (select date, horizon, covar_samp(a, b) / nullif(sqrt(var_samp(a) * var_samp(b)), 0) as ic, count(*) as n from r group by 1, 2)"""
+QUERIES["rank_ic"] = lambda spark, sf_dir: (lambda s: _rounded(s.rank_ic(s("x"), s("y"), [1, 3])))(ev_session(spark, sf_dir))
+ORACLES["rank_ic"] = f"{_IC} select date, horizon, round(ic, 6) + 0.0 as ic, n from i"
+QUERIES["ic_decay"] = lambda spark, sf_dir: (lambda s: _rounded(ic.decay(s.rank_ic(s("x"), s("y"), [1, 3]))))(ev_session(spark, sf_dir))
+ORACLES["ic_decay"] = f"{_IC} select horizon, round(avg(ic), 6) + 0.0 as mean, round(stddev_samp(ic), 6) + 0.0 as std, round(avg(ic) / stddev_samp(ic), 6) + 0.0 as ir, round(avg((ic > 0)::int), 6) + 0.0 as positive, count(*) as n from i where ic is not null group by 1"
+QUERIES["ic_rolling"] = lambda spark, sf_dir: (lambda s: _rounded(ic.rolling_ic(s.rank_ic(s("x"), s("y"), [1, 3]), 5)))(ev_session(spark, sf_dir))
+ORACLES["ic_rolling"] = f"{_IC} select date, horizon, round(avg(ic) over (partition by horizon order by date rows between 4 preceding and current row), 6) + 0.0 as value from i"
+
+_COSTS = Costs(commission=0.0013, min_fee=1.7, slippage_bps=4.3, impact=0.11)
+
+
+def _ledger(s: Session) -> DataFrame:
+    """Momentum, dollar-neutral and long only, at prices of 100 and a fiftieth of y, and volumes of 5000 y."""
+    w = {k: s.set_scaler(k).to_weights(s.ops.ts_mean(s("y"), window=3)) for k in ("DollarNeutral", "LongOnly")}
+    return s.ledger(w, s("y") / 50.0 + 100.0, s("y") * 5000.0, costs=_COSTS)
+
+
+_LEDGER = f"""{EV}, m as (select *, case when u and count(y) over w3 >= 1 then avg(y) over w3 end as x0 from p{WINDOWS}), k as (select * exclude (x), x0 as x from m),
+{_GN.format(l=1.0, s=1.0).replace("from p", "from k")},
+two as (select date, t, symbol, y, 'DollarNeutral' as strategy, w from w union all select date, t, symbol, y, 'LongOnly', coalesce(case when x is not null then greatest(x, 0) end / nullif(sum(greatest(x, 0)) over (partition by date), 0), 0) from k),
+arr as (select strategy, t, date, list(w order by symbol) as ws, list(case when y is not null then y / 50 + 100 end order by symbol) as ps, list(case when y > 0 then y * 5000 end order by symbol) as vs, list(symbol order by symbol) as ids, count(*) as n from two group by 1, 2, 3),
+f as (select distinct strategy, 0::bigint as t, 1000000.0::double as cash, list_transform(ps, lambda z: 0.0::double) as sh, list_transform(ps, lambda z: 0.0::double) as lp, 0.0::double as paid, 0.0::double as fees, list_transform(ps, lambda z: 0.0::double) as tr, 0.0::double as equity, null::date as date, ids from arr
+union all select strategy, t, cash - paid - fees, sh2, lp2, paid, fees, tr, cash - paid - fees + list_sum(list_transform(range(1, n + 1), lambda i: sh2[i] * lp2[i])), date, ids
+ from (select *, list_sum(pd) as paid, list_sum(list_transform(range(1, n + 1), lambda i: case when tr[i] = 0 then 0.0 else greatest(1.7, 0.0013 * abs(pd[i])) end)) as fees
+  from (select *, list_transform(range(1, n + 1), lambda i: case when tr[i] = 0 then 0.0 else tr[i] * ps[i] * (1 + sign(tr[i]) * (0.00043 + 0.11 * sqrt(abs(tr[i]) / vs[i]))) end) as pd, list_transform(range(1, n + 1), lambda i: sh[i] + tr[i]) as sh2
+   from (select *, list_transform(range(1, n + 1), lambda i: case when vs[i] is null then 0.0 else sign(ws[i]) * floor(abs(ws[i] * eq / ps[i]) + 0.5) - sh[i] end) as tr
+    from (select a.strategy, a.t, a.date, a.ws, a.ps, a.vs, a.ids, a.n, f.cash, f.sh, list_transform(range(1, a.n + 1), lambda i: coalesce(a.ps[i], f.lp[i])) as lp2,
+      f.cash + list_sum(list_transform(range(1, a.n + 1), lambda i: f.sh[i] * coalesce(a.ps[i], f.lp[i]))) as eq from f join arr a on a.strategy = f.strategy and a.t = f.t + 1)))))"""
+QUERIES["ledger_accounts"] = lambda spark, sf_dir: _rounded(accounts(_ledger(ev_session(spark, sf_dir))))
+ORACLES["ledger_accounts"] = "with recursive" + _LEDGER.lstrip().removeprefix("with") + " select strategy, date, list_sum(list_transform(tr, lambda z: abs(z))) as traded, round(paid, 6) + 0.0 as paid, round(fees, 6) + 0.0 as commission, round(cash, 6) + 0.0 as cash, round(equity, 6) + 0.0 as equity from f where t > 0"
+QUERIES["ledger_shares"] = lambda spark, sf_dir: _rounded(positions(_ledger(ev_session(spark, sf_dir))).filter("shares <> 0").select("strategy", "date", "symbol", "shares"))
+ORACLES["ledger_shares"] = "with recursive" + _LEDGER.lstrip().removeprefix("with") + " select * from (select strategy, date, unnest(ids) as symbol, unnest(sh) as shares from f where t > 0) where shares <> 0"
 
 # a spec of weights keeps its scaler, whatever the session's is by then
 _bt("spec_weights", lambda s, w, signal: s.set_scaler("LongOnly").evaluate(__import__("json").loads(w.to_json())).to_df(), "select date, symbol, round(w, 6) + 0.0 as value from w")
 _bt("pnl_of_returns", lambda s, w, signal: s.steps(s.to_portfolio_returns(w), "LongOnly").daily_pnl(), "select date, round(pnl, 6) + 0.0 as value from dy")
 
-_DATES = {"ship_monthly": ("month",), "etl_describe": ("first_date", "last_date"), "metrics": (), "etl_typed": (), "etl_value_counts": (), "etl_profile": ()}
+_DATES = {"ic_decay": (), "ship_monthly": ("month",), "etl_describe": ("first_date", "last_date"), "metrics": (), "etl_typed": (), "etl_value_counts": (), "etl_profile": ()}
 for _n, _sql in ORACLES.items():
     if _dates := _DATES.get(_n, ("date",)):
         ORACLES[_n] = f"select * replace ({', '.join(f'cast({d} as varchar) as {d}' for d in _dates)}) from ({_sql})"

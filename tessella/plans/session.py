@@ -10,6 +10,7 @@ Sessions do not change what panels mean: `with_universe` gives a new one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 from datetime import date as Date
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,8 @@ class Session:
         self._names = 0
         self._kept: list[DataFrame] = []  # recorded outputs
         self._fields: dict[str, Panel] = {}
+        self._always: set[str] = set()  # columns that the mask is made of
+        self._masking: list[Panel] = []
         self._scaler: Callable[[Column], Column] | None = None
         self.ops = _Ops(self)
 
@@ -132,6 +135,8 @@ class Session:
 
     def _frame_of(self, panel: Panel) -> DataFrame:
         made = panel.walk()
+        if self._always:  # fields that the mask is made of
+            made = [*made, *self._masking]
         names, fields = {p.name for p in made}, [p.spec["field"] for p in made if "field" in p.spec]
         if self._fixed is None:
             df, done = self._read(list(dict.fromkeys([*self._sources[:1], *fields])), True), 0
@@ -140,7 +145,7 @@ class Session:
             late = [n for n in dict.fromkeys(fields) if n not in self._fixed_sources]
             df = df.join(self._read(late, False).drop("t"), ["date", "symbol"], "left") if late else df
         for name, e in self._steps[done:]:
-            if name in names:
+            if name in names or name in self._always:
                 df = df.withColumn(name, e) if isinstance(e, Column) else e(df)
         return df
 
@@ -317,10 +322,13 @@ class Session:
         """A session over the cells of this universe where member is true; it keeps source and scaler."""
         if member.tag != "boolean":
             raise TypeError(f"a universe is boolean, not {member.tag}")
+        out = copy(self)  # the same grid, sources and columns; the mask changes behind them
         keep = F.coalesce(member.on_grid(), F.lit(False))
-        inside = self.frame(member).select("date", "symbol", (F.col("in_universe") & keep).alias("in_universe"))
-        out = Session(self.catalog, inside, self.start, self.end, self.returns_field, self.buffer_days)
-        out._scaler = self._scaler
+        out._steps = [*self._steps, ("in_universe", F.col("in_universe") & keep)]
+        out._always = self._always | {p.name for p in member.walk()} | {"in_universe"}
+        out._masking = [*self._masking, *member.walk()]
+        out._sources, out._fields, out._kept = list(self._sources), {}, []
+        out._fixed, out._fixed_sources, out._built, out.ops = None, [], None, _Ops(out)
         return out
 
     def restricted_to(self, universe: DataFrame) -> Session:

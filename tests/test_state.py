@@ -205,3 +205,18 @@ def test_weights_keep_their_scaler(spark):
         with pytest.raises(ValueError, match="name"):
             p.to_json()
     assert dt.date(2024, 1, 1) in {r.date for r in own.to_df().collect()}
+
+
+def test_a_smaller_universe_keeps_the_frame(spark):
+    s = ev_session(spark, SF)
+    small = s.with_universe(s("y") > 50.0)
+    text, whole = plan(small.ops.rank(small("x")).to_df()), plan(s.ops.rank(s("x")).to_df())
+    assert text.count("Exchange hashpartitioning") == whole.count("Exchange hashpartitioning") and text.count("FileScan") == whole.count("FileScan")
+    smaller = small.with_universe(small.ops.hump(small("x")) > 20.0)  # a mask that a function of batches makes
+    got = {(r.date, r.symbol): r.value for r in smaller("x").to_df().collect()}
+    base = {(r.date, r.symbol): r.value for r in small("x").to_df().collect()}
+    humped = {(r.date, r.symbol): r.value for r in small.ops.hump(small("x")).to_df().collect()}
+    assert got == {k: v if humped[k] is not None and humped[k] > 20.0 else None for k, v in base.items()}
+    assert values(s("x")) != values(small("x")) and small.universe_count().count() == s.universe_count().count()
+    with pytest.raises(ValueError):
+        small.ops.rank(s("x"))

@@ -6,7 +6,7 @@ distinct parts are encoded once, in batches over several threads. This holds for
 normaliser of their own; others are encoded text by text. `parity` compares with the sentencepiece library.
 
 Nulls and edges: null text counts as empty (no ids, decodes to an empty text); a null id is passed on; rows are encoded one by
-one; an empty table gives an empty result; other columns are ignored. Invalid UTF-8 among decoded bytes becomes U+FFFD.
+one, so repeated rows get equal results; very long texts are encoded whole, in blocks of parts; an empty table gives an empty result; other columns are ignored. Invalid UTF-8 among decoded bytes becomes U+FFFD.
 """
 
 from __future__ import annotations

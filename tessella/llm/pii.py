@@ -84,8 +84,9 @@ CUES = ("at", "(at)", "[at]", "{at}", "dot", "(dot)", "[dot]", "{dot}", "tel", "
 #: An "at" in brackets within a word.
 _GLUED = (b"(at)", b"[at]", b"{at}")
 REACH = 2
-#: Fixed weight of every kind for a plain word whose neighbours are plain as well: such a word is never personal data.
-AMONG_PLAIN = -30.0
+#: The weights of a plain word among plain ones are learned last, with a softmax margin: where such a word is ordinary, every kind's score is
+#: raised by so much, so that they keep the ordinary state ahead by it. What labels say of such words decides whether `Field.settled` holds.
+MARGIN, MARGIN_EPOCHS = 12.0, 4
 _TRIM = b".,;:!?\"')]}>"
 _OPEN = b"\"'([{<"
 
@@ -127,7 +128,7 @@ def interesting(word: bytes) -> bool:
 
 
 _PLAIN = (_bucket("plain"),)
-#: Digits that a span found by the field alone must hold.
+#: Digits that a span found by the field alone must hold; a card's must pass Luhn as well.
 PLAUSIBLE = {"email": (0, 64), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 
 
@@ -149,12 +150,13 @@ def labelled_lines(n: int = 2000, seed: int = 5) -> list[tuple[list[str], list[s
             lambda: [name(), "dot", name(), "at", name(), "dot", end()],
         ],
         "ip": [lambda: [".".join(str(rng.randrange(256)) for _ in range(4))]],
-        "card": [lambda: [d(4) for _ in range(4)], lambda: ["-".join(d(4) for _ in range(4))]],
+        "card": [lambda: [d(4) for _ in range(4)], lambda: ["-".join(d(4) for _ in range(4))], lambda: [".".join(d(4) for _ in range(4))]],
         "phone": [
             lambda: ["+" + d(2), d(3), d(7)],
             lambda: [f"+{d(2)}-{d(3)}-{d(4)}"],
             lambda: [f"({d(3)})", f"{d(3)}-{d(4)}"],
             lambda: [f"{d(3)}-{d(3)}-{d(4)}"],
+            lambda: [f"{d(1)}-{d(3)}-{d(3)}-{d(4)}"],
             lambda: [f"{d(3)}.{d(3)}.{d(4)}"],
             lambda: ["0" + d(3), d(3), d(4)],
             lambda: ["0" + d(2), d(4), d(4)],
@@ -169,6 +171,7 @@ def labelled_lines(n: int = 2000, seed: int = 5) -> list[tuple[list[str], list[s
         lambda: [d(20) + name()], lambda: [d(rng.randrange(20, 120))], lambda: [name() * 20 + d(3)], lambda: [rng.choice(["ip", "phone", "mail:"]), name()], lambda: [d(3), d(3)], lambda: [d(4), d(4)],
         lambda: [f"{d(3)}-{d(2)}-{d(4)}"], lambda: [f"{d(2)}.{d(1)}.{d(5)}.{d(rng.randrange(1, 4))}"], lambda: ["dot", "dot"], lambda: ["at", name(), "dot", "dot"], lambda: [f"{name()[:2].upper()}{d(2)}", *[d(4) for _ in range(4)], d(2)],
         lambda: [f"{d(4)}-{d(4)}"], lambda: [f"{d(2)}/{d(2)}/{d(4)}"], lambda: ["at", name(), "dot", name()], lambda: [name(), "at", name(), name(), "dot", name()], lambda: [name(), "dot", name(), "at", name()], lambda: [end()], lambda: [name() + "(" + name() + ")"], lambda: [f"{d(3)}.{d(3)}.{d(3)}"], lambda: [f"{d(4)}/{d(4)}"],
+        lambda: ["-".join(d(4) for _ in range(3))], lambda: ["at", f"{d(2)}.{d(2)}", "dot", end()], lambda: [".".join(d(4) for _ in range(3))],
     ]
     out = []
     for _ in range(n):
@@ -228,7 +231,8 @@ class Field:
 
     @classmethod
     def train(cls, lines: list[tuple[list[str], list[str]]], epochs: int = 16, rate: float = 0.4, decay: float = 1e-4, seed: int = 3) -> Field:
-        """Stochastic gradient (AdaGrad) on the conditional log-likelihood, by forward-backward over batches of padded lines."""
+        """Stochastic gradient (AdaGrad) on the conditional log-likelihood, by forward-backward over batches of padded lines;
+        then the weights of plain words among plain ones alone, with the margin."""
         k = len(STATES)
         code = {s: i for i, s in enumerate(STATES)}
         data = []
@@ -237,11 +241,12 @@ class Field:
                 x = cls.rows([w.encode() for w in ws])
                 data.append((np.array([b for r in x for b in r]), np.array([len(r) for r in x]), np.array([code[t] for t in ts])))
         emit, move = np.zeros((3 * BUCKETS + 1, k)), np.zeros((k, k))
-        emit[-1, 1:] = AMONG_PLAIN
         g_emit, g_move = np.full_like(emit, 1e-6), np.full_like(move, 1e-6)
-        free = (np.arange(len(emit)) < 3 * BUCKETS)[:, None]
         rng = np.random.default_rng(seed)
-        for _ in range(epochs):
+        for epoch in range(epochs + MARGIN_EPOCHS):
+            late = epoch >= epochs
+            if epoch == epochs:
+                g_emit[-1] = 1e-6
             for part in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
                 batch = [data[i] for i in part]
                 lens = np.array([len(y) for _, _, y in batch])
@@ -249,7 +254,11 @@ class Field:
                 feats, per, gold = (np.concatenate([x[j] for x in batch]) for j in range(3))
                 real = np.arange(longest) < lens[:, None]
                 e = np.zeros((b, longest, k))
-                e[real] = np.add.reduceat(emit[feats], np.cumsum(per) - per)
+                first = np.cumsum(per) - per
+                e[real] = np.add.reduceat(emit[feats], first)
+                if late:
+                    among = np.logical_or.reduceat(feats == 3 * BUCKETS, first) & (gold == 0)
+                    e[real] += MARGIN * among[:, None] * (np.arange(k) > 0)
                 fwd = np.empty_like(e)
                 fwd[:, 0] = e[:, 0]
                 for t in range(1, longest):
@@ -270,8 +279,9 @@ class Field:
                 g += np.bincount(gold[at] * k + gold[at + 1], minlength=k * k).reshape(k, k)
                 rows = np.repeat(p, per, axis=0)
                 ge = np.stack([np.bincount(feats, rows[:, j], len(emit)) for j in range(k)], 1)
-                ge[-1] = 0
-                ge, g = ge / b - decay * emit * free, g / b - decay * move
+                ge, g = ge / b - decay * emit, g / b - decay * move
+                if late:
+                    ge[:-1], g = 0, np.zeros_like(g)
                 g_emit += ge**2
                 g_move += g**2
                 emit += rate * ge / np.sqrt(g_emit)
@@ -380,9 +390,10 @@ _DISGUISED = re.compile(rb"(?i:[(\[{]at[)\]}]|\sat\s|@).*(?i:[(\[{\s]dot[)\]}\s]
 
 
 def _plausible(kind: str, span: bytes) -> bool:
-    """A span of the field alone must hold as many digits as its kind has; an address an at and a dot in some form."""
+    """A span of the field alone must hold as many digits as its kind has, a card's by Luhn; an address an at and a dot in some form."""
     low, high = PLAUSIBLE[kind]
-    return low <= len(_DIGITS.sub(b"", span)) <= high and (kind != "email" or bool(_DISGUISED.search(span)))
+    digits = _DIGITS.sub(b"", span)
+    return low <= len(digits) <= high and (kind != "card" or luhn(digits)) and (kind != "email" or bool(_DISGUISED.search(span)))
 
 
 def field_spans(w: Words, field: Field, everything: bool = False) -> list[tuple[int, str, int, int]]:

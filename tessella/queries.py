@@ -358,7 +358,7 @@ from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey
 
 def etl_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = load_cells(ev_catalog(spark, sf_dir), "y").withColumnRenamed("value", "adj_close")
-    return _rounded(reshape.calculate_returns(prices))
+    return _rounded(reshape.calculate_returns(prices, after_zero="missing"))
 
 
 QUERIES["etl_returns"] = etl_returns

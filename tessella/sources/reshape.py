@@ -96,11 +96,15 @@ def write_partitioned(df: DataFrame, path: str, date: str = "date", day: bool =
     out.repartition(*keys, F.pmod(F.xxhash64(*[c for c in out.columns if c not in keys][:2]), F.lit(4))).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
-def calculate_returns(prices: DataFrame, price: str = "adj_close") -> DataFrame:
-    """date, symbol, return: change on the symbol's row before, over rows with a price, infinite after a price of 0; first rows go."""
+def calculate_returns(prices: DataFrame, price: str = "adj_close", after_zero: str = "infinite") -> DataFrame:
+    """date, symbol, return: change on the symbol's row before, over rows with a price; first rows go. After a price of 0 it is infinite, or missing and goes."""
+    if after_zero not in ("infinite", "missing"):
+        raise ValueError(f"a return after 0 is infinite or missing, not {after_zero}")
     w = Window.partitionBy("symbol").orderBy("date")
     p = F.col(price).cast("double")
-    rows = prices.filter(p.isNotNull()).withColumn("return", cells.divide(p, F.lag(p).over(w)) - 1)
+    before = F.lag(p).over(w)
+    change = cells.divide(p, before) if after_zero == "infinite" else p / F.nullif(before, F.lit(0.0))
+    rows = prices.filter(p.isNotNull()).withColumn("return", change - 1)
     return rows.filter(F.col("return").isNotNull()).select("date", "symbol", "return")
 
 

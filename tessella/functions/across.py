@@ -118,9 +118,9 @@ def fill_share(w: Column, limit: float) -> Column:
     """Of each position, by date and side in order of size: its place, and what the rest would be scaled by if all larger ones were capped, where that keeps it within the limit."""
     size = F.abs(w)
     side = Window.partitionBy("date", F.signum(w))
-    order = side.orderBy(size.desc_nulls_last())
-    rank = F.row_number().over(order)
-    rest = F.sum(size).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rank = F.row_number().over(side.orderBy(size.desc_nulls_last(), "symbol"))
+    # a sum up to the end is one from the start of the opposite order: Spark adds up a frame to the end anew for every row
+    rest = F.sum(size).over(side.orderBy(size.asc_nulls_first(), F.desc("symbol")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     scale = (F.sum(size).over(side) - (rank - 1) * limit) / F.nullif(rest, F.lit(0.0))
     return F.when(scale * size <= limit * (1 + 1e-12), F.struct(rank.alias("i"), scale.alias("f")))
 

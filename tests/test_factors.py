@@ -199,3 +199,10 @@ def test_ledger(spark):
         s.ledger(panels, s("p"), costs=costs)
     with pytest.raises(ValueError, match="rounding"):
         s.ledger(panels, s("p"), rounding="up")
+
+
+def test_no_frame_of_position_limits_is_added_up_anew_for_every_row(spark):
+    s = ev_session(spark, "/root/testdata/sf0.001")
+    panel = s.cap_positions(s.set_scaler("DollarNeutral").to_weights(s("x")), limit=0.02)
+    plan = panel.to_df()._jdf.queryExecution().analyzed().toString().lower()
+    assert "rowframe, unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing$()" not in plan

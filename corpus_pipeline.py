@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import cluster, exact_dedup, near_dup, packing, pii, quality
+from tessella.llm import cluster, exact_dedup, near_dup, packing, pii, quality, simhash
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word Jaccard of 0.8 or more one row stays, that with the least id."""
+    """Of documents linked by SimHash, as op9 links them (fingerprints at 3 or fewer differing bits), or by a five-word Jaccard of 0.8 or more, over any chain
+    of either, one row stays, that with the least id."""
     cluster.release(spark, keep=docs)
-    return near_dup.keep_first(docs)
+    return near_dup.keep_first(docs, bits=simhash.RADIUS)
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

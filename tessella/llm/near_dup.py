@@ -1,7 +1,8 @@
 """Near-duplicates of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints cannot reach that far (a Jaccard of 0.8 is about 10 of 64 SimHash bits), so candidates meet in bands of minima under
-BANDS * ROWS linear hashes: two documents share a band with probability 1 - (1 - J ** ROWS) ** BANDS, 0.9996 at 0.8. Every link
+The pipeline's stage links by SimHash first, as op9 does: fingerprints within 3 of 64 bits. They cannot reach as far as a Jaccard of 0.8 (about 10 bits), so
+its links are joined, in the same components, by those of a second search: candidates meet in bands of minima under
+BANDS * ROWS linear hashes: two documents share a band with probability 1 - (1 - J ** ROWS) ** BANDS, 0.9996 at 0.8. Every link of bands
 is verified on the whole shingle sets (as 64-bit hashes) before it counts. Members of a band's bucket are compared with one hub of
 it, that which meets most others in all its buckets. Members that are not in the hub's component then are compared with all members of
 other components, so no link of a bucket between components is missed: not as pairs, but in blocks of BLOCK by BLOCK texts whose sets
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import cluster
+from . import cluster, simhash
 from .arrays import U64, Words, blocks, column, mix, ragged, small, text_buffer, window_hash
 from .components import components, first_of, named
 from .simhash import _LOWER, _rows
@@ -134,19 +135,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return _labelled(_rows(table, F.col(row), id_col, text_col)).select("doc_id", "node", F.col("best.id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that with the least id (of equal ids, and of rows without one, the first); all columns stay."""
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+    """docs with one row of each component, that with the least id (of equal ids, and of rows without one, the first); all columns stay. With bits, SimHash
+    fingerprints that differ in so many bits at most are links as well."""
     table, row = cluster.numbered(docs)
-    return cluster.without(table, row, _labelled(_rows(table, F.col(row), id_col, text_col)).filter("row <> best.row"))
+    return cluster.without(table, row, _labelled(_rows(table, F.col(row), id_col, text_col), bits).filter("row <> best.row"))
 
 
-def _labelled(rows: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, bits: int | None = None) -> DataFrame:
     """rows: row, doc_id, text. Returns row, doc_id, node, best (the first row of its component)."""
     with cluster.Scratch(rows.sparkSession) as scratch:
-        return _linked(rows, scratch)
+        return _linked(rows, scratch, bits)
 
 
-def _linked(rows: DataFrame, scratch: cluster.Scratch) -> DataFrame:
+def _fingerprint_links(each: DataFrame, bits: int, scratch: cluster.Scratch) -> DataFrame:
+    """Links a, b among nodes: those of one fingerprint with the least of them, and these where the fingerprints are linked."""
+    held = scratch.table(each.select("node", "fp").distinct())
+    named_by = scratch.table(held.groupBy("fp").agg(F.min("node").alias("by")))
+    near = simhash.links(named_by.select("fp").repartition("fp"), bits)
+    for end in "ab":
+        near = near.join(named_by.select(F.col("fp").alias(end), F.col("by").alias(f"by_{end}")), end)
+    same = held.join(named_by.hint("merge"), "fp").filter("node <> by").select(F.col("node").alias("a"), F.col("by").alias("b"))
+    return scratch.table(near.select(F.col("by_a").alias("a"), F.col("by_b").alias("b")).unionByName(same))
+
+
+def _linked(rows: DataFrame, scratch: cluster.Scratch, bits: int | None) -> DataFrame:
     spark = rows.sparkSession
 
     def sketch(batches):
@@ -156,8 +169,9 @@ def _linked(rows: DataFrame, scratch: cluster.Scratch) -> DataFrame:
                 n = len(at) - 1
                 data = _bands(h, at).astype("<u8").tobytes()
                 off = pa.py_buffer((np.arange(n + 1) * 8 * BANDS).astype(np.int32).tobytes())
+                fp = {} if bits is None else {"fp": pa.array(simhash.fingerprints(column(batch, "text").slice(i, n)).view(np.int64))}
                 yield pa.RecordBatch.from_pydict(
-                    {"row": column(batch, "row").slice(i, n), "doc_id": column(batch, "doc_id").slice(i, n), "node": pa.array(_nodes(h, at).view(np.int64)), "bands": pa.Array.from_buffers(pa.binary(), n, [None, off, pa.py_buffer(data)])}
+                    {"row": column(batch, "row").slice(i, n), "doc_id": column(batch, "doc_id").slice(i, n), "node": pa.array(_nodes(h, at).view(np.int64)), "bands": pa.Array.from_buffers(pa.binary(), n, [None, off, pa.py_buffer(data)])} | fp
                 )
 
     def spread(batches):
@@ -198,7 +212,7 @@ def _linked(rows: DataFrame, scratch: cluster.Scratch) -> DataFrame:
                 found += _block_links(*sides)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    each = scratch.table(rows.mapInArrow(sketch, "row long, doc_id long, node long, bands binary"))
+    each = scratch.table(rows.mapInArrow(sketch, "row long, doc_id long, node long, bands binary" + ("" if bits is None else ", fp long")))
     distinct = scratch.table(each.groupBy("node").agg(F.min(F.struct(*first_of())).alias("best"), F.first("bands").alias("bands")))
     keyed = distinct.filter("node <> 0").mapInArrow(spread, "key long, node long")
     # a bucket may hold any share of the texts: what is known of it is a table of its own, so that adaptive execution can split the merge join
@@ -212,7 +226,8 @@ def _linked(rows: DataFrame, scratch: cluster.Scratch) -> DataFrame:
 
     stars = members.filter("node <> hub").select("node", "hub").distinct()
     pairs = stars.join(known.select("node", F.col("s").alias("sa")), "node").join(known.select(F.col("node").alias("hub"), F.col("s").alias("sb")), "hub")
-    links = scratch.table(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), "sa", "sb").mapInArrow(verify, "a long, b long"))
+    links = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), "sa", "sb").mapInArrow(verify, "a long, b long")
+    links = scratch.table(links if bits is None else links.unionByName(_fingerprint_links(each, bits, scratch)))
     roots = components(links, scratch)
     # members with the components that the stars gave; buckets that hold several are compared further
     for end in ("node", "hub"):

@@ -1,13 +1,17 @@
 """The pipeline, stage by stage, against brute force on the whole smallest tables and on a table of edges."""
 
+import random
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tessella.llm import packing, pii, quality
+from tessella.llm import packing, pii, quality, simhash
 
 from .test_near_dup import brute as brute_near
+from .test_near_dup import brute_set
 from .test_tokens import check_pieces, ids_of
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +85,27 @@ def test_null_labels_and_empty_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_the_simhash_stage_links_by_fingerprints_too(spark):
+    """Chains of both kinds: fingerprints at 3 bits or fewer whose texts have a Jaccard under 0.8, and the other way."""
+    rng = random.Random(5)
+    base = rng.choices([f"w{k}" for k in range(50)], k=12) * 40  # one edit in twelve words, in the fortieth round alone: many new shingles, hardly any weight
+    other = list(base)
+    for k in range(6):
+        other[36 * k + 5] = f"n{k}"
+    third = [*base, "a", "tail"]
+    alone = rng.choices([f"v{k}" for k in range(300)], k=200)
+    edited = ["x" if k % 50 == 25 else w for k, w in enumerate(alone)]
+    texts = [" ".join(x) for x in (base, other, third, alone, edited)] + [None, ""]
+    ids = [10, 20, 5, 40, 30, 2, 1]
+    fp = simhash.fingerprints(pa.array(texts, pa.string()))
+    assert int(fp[0] ^ fp[1]).bit_count() <= 3 and int(fp[3] ^ fp[4]).bit_count() > 3
+    jaccard = lambda i, j: len(brute_set(texts[i]) & brute_set(texts[j])) / len(brute_set(texts[i]) | brute_set(texts[j]))
+    assert jaccard(0, 1) < 0.8 <= jaccard(3, 4)
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in cp.stage_simhash_dedup(spark, docs, "").collect()} == {5, 30, 1}
+    # over a whole table: no two rows that stay have fingerprints within 3 bits
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fp = simhash.fingerprints(pa.array([r.text for r in cp.stage_simhash_dedup(spark, docs, "").select("text").collect()], pa.string()))
+    assert min(int(np.bitwise_count(fp[i] ^ fp[i + 1 :]).min()) for i in range(len(fp) - 1)) > 3

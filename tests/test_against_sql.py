@@ -34,3 +34,15 @@ def both(spark, path, rows, name, files=1):
 def test_returns_after_a_price_of_zero(spark, tmp_path):
     got, want = both(spark, tmp_path, [(1, 1, "click", 2.0), (2, 1, "view", 0.0), (3, 1, "view", 4.0), (4, 1, "error", 5.0), (1, 2, "view", 0.0), (2, 2, "view", 0.0)], "etl_returns")
     assert got == want and [r[2] for r in got] == [-1.0, 0.25]
+
+
+#: User 1: 2 * 0.3 against 0.1 + 0.2 + 0.3, which is over 0.6 if added in this order and 0.6 in the opposite one. User 2: 0.3 + 0.2 + 0.1 is 0.6. User 3: 2 * (0.1 + 0.2)
+#: against the same sum as user 1's, of which the last two are in a file of their own.
+TIES = [(1, 1, "error", 0.1), (1, 1, "error", 0.2), (1, 1, "click", 0.3), (1, 2, "click", 0.3), (1, 2, "error", 0.2), (1, 2, "error", 0.1), (2, 1, "view", None), (2, 2, "error", 7.0)]
+TIES += [(1, 3, "click", 0.1), (1, 3, "click", 0.2), (1, 4, "error", 1.0), (1, 3, "error", 0.3)]
+
+
+@pytest.mark.parametrize("name", ["equal", "greater_than", "less_than", "greater_or_equal", "less_or_equal"])
+def test_comparisons_of_sums_do_not_depend_on_files(spark, tmp_path, name):
+    got, want = both(spark, tmp_path, TIES, name, files=2)
+    assert got == want and [r[2] for r in got[:3]] == {"equal": [0, 1, 1], "greater_than": [0, 0, 0], "less_than": [1, 0, 0], "greater_or_equal": [0, 1, 1], "less_or_equal": [1, 1, 1]}[name]

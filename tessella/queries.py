@@ -87,9 +87,12 @@ WINDOWS = """ window wt as (partition by symbol order by t), w5 as (partition by
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles to DIGITS and without a negative zero, truth as 1 and 0, dates as ISO text: equal in either engine."""
+    """Doubles to DIGITS and without a negative zero, truth as 1 and 0, dates as ISO text: equal in either engine. Doubles are rounded as SQL does it, by the
+    product with 10 ** DIGITS: the decimal text of a double, which F.round goes by, may lie on the other side of a half."""
     kinds = dict(df.dtypes)
-    same = lambda c: (F.round(c, DIGITS) + 0.0).alias(c) if kinds[c] == "double" else F.col(c).cast("string").alias(c) if kinds[c] == "date" else F.col(c).cast("double").alias(c) if kinds[c] == "boolean" else F.col(c)
+    power = 10.0**DIGITS
+    near = lambda c: F.when(F.abs(F.col(c) * power) < float("inf"), F.round(F.col(c) * power) / power).otherwise(F.col(c)) + 0.0
+    same = lambda c: near(c).alias(c) if kinds[c] == "double" else F.col(c).cast("string").alias(c) if kinds[c] == "date" else F.col(c).cast("double").alias(c) if kinds[c] == "boolean" else F.col(c)
     return df.select(*[same(c) for c in df.columns])
 
 

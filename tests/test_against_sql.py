@@ -46,3 +46,10 @@ TIES += [(1, 3, "click", 0.1), (1, 3, "click", 0.2), (1, 4, "error", 1.0), (1, 3
 def test_comparisons_of_sums_do_not_depend_on_files(spark, tmp_path, name):
     got, want = both(spark, tmp_path, TIES, name, files=2)
     assert got == want and [r[2] for r in got[:3]] == {"equal": [0, 1, 1], "greater_than": [0, 0, 0], "less_than": [1, 0, 0], "greater_or_equal": [0, 1, 1], "less_or_equal": [1, 1, 1]}[name]
+
+
+def test_returns_at_half_a_digit_are_rounded_as_sql_does(spark, tmp_path):
+    """Quotients by 1.28 and the like end in the seventh digit, on a half; doubles lie on either side of it."""
+    rows = [(d, u, "click", v) for u in range(1500) for d, v in ((1, 1.28 * (1 + u % 7)), (2, (2 * u + 1) / 100))]
+    got, want = both(spark, tmp_path, rows, "etl_zero_price")
+    assert got == want and len(got) == 1500

@@ -28,6 +28,10 @@ from .panel import Panel, Step
 from .steps import Steps
 
 
+#: Cells of the grid that a task of the time axis holds, on average.
+CELLS = 250_000
+
+
 class _Ops:
     """Registered operators as methods; those whose names are keywords by getattr."""
 
@@ -59,6 +63,7 @@ class Session:
             self._cells = known = universe.select("date", "symbol", F.coalesce(F.col("in_universe").cast("boolean"), F.lit(True)).alias("in_universe")).filter("date is not null and symbol is not null")
         self._dates = calendar(known)
         self._symbols = known.select("symbol").distinct()
+        self._n_symbols: int | None = None
         self._steps: list[tuple[str, Column | Callable[[DataFrame], DataFrame]]] = []  # columns added so far, or what adds them to the frame, in order
         self._fixed: tuple[DataFrame, int] | None = None
         self._fixed_sources: list[str] = []
@@ -92,8 +97,8 @@ class Session:
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p, allowMissingColumns=True)
-        # dealt by symbol alone: what follows on the time axis is in place
-        df = every.repartition("symbol").groupBy("symbol", "date").agg(*first)
+        # dealt by symbol alone: what follows on the time axis is in place. Into tasks by cells, as bytes say little: a grid's empty cells are packed to nothing on the way
+        df = every.repartition(self._tasks(), "symbol").groupBy("symbol", "date").agg(*first)
         if member and self._cells is None:
             value = F.col(f"_f_{self._sources[0]}")
             inside = value.isNotNull()
@@ -113,6 +118,11 @@ class Session:
         kept = ["date", "symbol", "t", *(["in_universe"] if member else []), *[f"_f_{n}" for n in names]]
         return df.filter("t is not null").select(*kept)
 
+    def _tasks(self) -> int:
+        if self._n_symbols is None:
+            self._n_symbols = self._symbols.count()
+        return max(1, -(-self._n_symbols * len(self._dates) // CELLS))
+
     def frame(self, panel: Panel | None = None) -> DataFrame:
         """The frame with all fields and columns so far. With a panel, and where functions of batches add columns (which Catalyst cannot prune), with what
         the panel is made of alone."""

@@ -95,3 +95,11 @@ def test_rolling_chain_needs_one_exchange_per_axis(spark):
     panel = s.ops.ts_mean(y, window=5) - s.ops.ts_std_dev(y, window=5) + s.ops.ts_max(y, window=5)
     before, after = (p.to_df()._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(symbol") for p in (y, panel))
     assert after <= before + 1
+
+
+def test_tasks_of_the_time_axis_grow_with_the_cells(spark, monkeypatch):
+    monkeypatch.setattr("tessella.plans.session.CELLS", 1000)
+    s = queries.ship_session(spark, "/root/testdata/sf0.001")  # 10 suppliers by some 2,300 days
+    most = s.frame().groupBy(F.spark_partition_id()).agg(F.countDistinct("symbol").alias("n"), F.count("*").alias("cells")).collect()
+    cells = sum(r.cells for r in most)
+    assert s.frame().rdd.getNumPartitions() == -(-cells // 1000) and sum(r.n for r in most) == 10 and len(most) > 5

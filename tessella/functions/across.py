@@ -51,6 +51,20 @@ def scale(x: Column, long: float = 1.0, short: float = -1.0) -> Column:
     return _scaled(x, day(), long, short)
 
 
+def _edge(x: Column, share: float, n: Column, place: Column) -> Column:
+    """Where the value at a share of the way from the least to the greatest of n lies: lo, hi and how far it is from lo to hi, 0 at a value itself."""
+    at = (n - 1) * F.lit(share)
+    near = F.when(F.abs(place - 1 - at) < 1, x.cast("double"))
+    return F.struct((at % 1).alias("far"), F.min(near).over(day()).alias("lo"), F.max(near).over(day()).alias("hi"))
+
+
+def _interpolated(e: Column) -> Column:
+    """By a fused multiply-add, as DuckDB does it: where lo and hi are next to one another, as sums of the same values in another order are, the last bit says on which side of
+    the edge they lie."""
+    fused = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), e["lo"], 1 - e["far"], e["hi"] * e["far"]).cast("double")
+    return F.when((e["far"] > 0) & e["lo"].isNotNull(), fused).otherwise(e["lo"]) + F.lit(0.0)  # no negative zero: array_distinct tells it from 0
+
+
 def label_quantile(x: Column, bins: int, labels: list[str]) -> Column:
     """Labels of equal-count bins with right-closed, linearly interpolated edges; ranks decide where values are too few or edges equal."""
     if len(labels) != bins:
@@ -58,10 +72,11 @@ def label_quantile(x: Column, bins: int, labels: list[str]) -> Column:
     w = day()
     order = w.orderBy(x.asc_nulls_last())
     n, distinct = F.count(x).over(w), F.max(F.when(x.isNotNull(), F.dense_rank().over(order))).over(w)
-    edges = F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).over(w)
+    edges = F.transform(F.array(*[_edge(x, i / bins, n, F.row_number().over(order)) for i in range(bins + 1)]), _interpolated)
     by_rank = F.least(F.floor(F.rank().over(order) * bins / F.nullif(n, F.lit(0))), F.lit(bins - 1))
-    by_edge = F.greatest(F.size(F.filter(edges, lambda e: e < x)) - 1, F.lit(0))
-    bin_ = F.when(distinct == 1, 0).when((distinct < bins) | (F.size(F.array_distinct(edges)) <= bins), by_rank).otherwise(by_edge)
+    # missing where edges are equal; a list of the one list of edges, as these are to be made once a cell
+    by_edge = F.transform(F.array(edges), lambda es: F.when(F.size(F.array_distinct(es)) > bins, F.greatest(F.size(F.filter(es, lambda e: e < x)) - 1, F.lit(0))))[0]
+    bin_ = F.when(distinct == 1, 0).when(distinct < bins, by_rank).otherwise(F.coalesce(by_edge, by_rank))
     return F.when(x.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in labels]), (bin_ + 1).cast("int")))
 
 

@@ -1,6 +1,7 @@
 """Registered queries against their SQL on tables that are made to bring them apart: prices of 0, sums and quotients at the edge of a comparison or a rounding."""
 
 import datetime as dt
+import math
 
 import duckdb
 import pyarrow as pa
@@ -53,3 +54,18 @@ def test_returns_at_half_a_digit_are_rounded_as_sql_does(spark, tmp_path):
     rows = [(d, u, "click", v) for u in range(1500) for d, v in ((1, 1.28 * (1 + u % 7)), (2, (2 * u + 1) / 100))]
     got, want = both(spark, tmp_path, rows, "etl_zero_price")
     assert got == want and len(got) == 1500
+
+
+@pytest.mark.parametrize("name", ["label_quantile", "double_sort"])
+def test_edges_between_neighbouring_doubles_are_those_of_the_sql(spark, tmp_path, name):
+    """Up to a dozen values a day, most of them of a pair that differs in the last bit: an edge is interpolated between them, and one more rounding puts it on the other one."""
+    rows = []
+    for day in range(1, 25):
+        n = 3 + day % 8
+        v = 0.05 + 0.06 * day
+        near = (v, math.nextafter(v, 9))
+        middle = [near[0]] * (n // 3) + [near[1]] * (n - n // 3) if day % 2 else [near[0]] * (n - n // 3) + [near[1]] * (n // 3)
+        rows += [(day, 10 * day + i, "click", x) for i, x in enumerate([v / 2, *middle, v * 2] if day % 3 else middle)]
+    rows += [(25, i, "click", 0.3) for i in (1, 2, 4, 5)] + [(26, 1, "click", 0.3), (27, 1, "view", None), (27, 2, "error", 1.0), *[(28, i, "click", 10.0 * i) for i in range(1, 8)]]
+    got, want = both(spark, tmp_path, rows, name)
+    assert got == want and sum(r[2] is not None for r in got) > 150

@@ -122,6 +122,13 @@ def test_label_quantile(spark):
         s.ops.label_quantile(s("x"), bins=3, labels=["a"])
 
 
+def test_label_quantile_takes_zeros_of_either_sign_as_equal_edges(spark):
+    s = make(spark, {"x": [[-1.0, -0.0, 0.0, 0.0, 1.0], [0.0, 0.0, -0.0, 3.0, -2.0], [-0.0, 0.0, -0.0, 0.0, None]]})
+    got = values(s.ops.label_quantile(s("x"), bins=3, labels=["low", "mid", "high"]))
+    # two edges are 0: ranks 1, 2 and 5 of 5
+    assert got == [["low", "mid", "mid", "mid", "high"], ["mid", "mid", "mid", "high", "low"], ["low"] * 4 + [None]]
+
+
 def test_groups_leave_out_missing_values_and_labels(spark):
     g = [["A", "A", "B", None, "B"]]
     s = make(spark, {"x": [[1.0, 3.0, None, 9.0, 4.0]], "g": g, "n": [[1.0, -3.0, 2.0, 1.0, 4.0]]}, types={"g": "group"})
